@@ -130,6 +130,5 @@ def ordered_positions(
     """Number the rows of each group from 1 in the order lead, value, tail; safe for a hot group."""
     rc = running_counts(df, value, by, lead, tail)
     first = F.col("below") + 1
-    return rc.select(
-        *by, *lead, value, *tail, F.explode(F.sequence(first, F.col("below") + F.col("n"))).cast("int").alias(out)
-    )
+    numbered = rc.select(*by, *lead, value, *tail, F.explode(F.sequence(first, F.col("below") + F.col("n"))).alias(out))
+    return numbered.withColumn(out, F.col(out).cast("int"))

@@ -130,11 +130,16 @@ def delivery_period(hour: ColumnLike, mode: str = "clock") -> Column:
     )
 
 
-def price_segment(price: ColumnLike, edges: Sequence[float] = (20, 50, 100)) -> Column:
-    """Left-closed price segments."""
+def price_segment(price: ColumnLike, edges: Sequence[int] = (20, 50, 100)) -> Column:
+    """Left-closed price segments named after their edges."""
     p = col(price)
     a, b, c = edges
-    return F.when(p < a, "Low").when(p < b, "Medium").when(p < c, "High").otherwise("Premium")
+    return (
+        F.when(p < a, f"Budget (<${a})")
+        .when(p < b, f"Mid-Range (${a}-${b})")
+        .when(p < c, f"Premium (${b}-${c})")
+        .otherwise(f"High-Value (${c}+)")
+    )
 
 
 def lookup(key: ColumnLike, table: Mapping[str, float], default) -> Column:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from deliveryrisk.plans.registry import QUERIES, oracle_text, spark_callable
 
-FAMILIES = ["drivers", "customers", "pairs"]
+FAMILIES = ["drivers", "customers", "pairs", "features", "overview", "regions", "temporal"]
 
 
 def load() -> dict:

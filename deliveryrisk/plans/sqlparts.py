@@ -278,3 +278,44 @@ pr AS (SELECT driver_id, customer_id, COUNT(*) AS interactions, CAST(SUM(items_m
   CAST(SUM(items_delivered) AS BIGINT) AS items_delivered,
   CAST(SUM(items_missing + items_delivered) AS BIGINT) AS total_items,
   {sql_rate('SUM(items_missing)', 'SUM(items_delivered)')} AS missing_rate FROM ord GROUP BY driver_id, customer_id)"""
+
+PERIOD_CLOCK = (
+    "CASE WHEN delivery_hour BETWEEN 6 AND 11 THEN 'Morning' WHEN delivery_hour BETWEEN 12 AND 17 THEN 'Afternoon' "
+    "WHEN delivery_hour BETWEEN 18 AND 21 THEN 'Evening' ELSE 'Night' END"
+)
+PERIOD_CUT = (
+    "CASE WHEN delivery_hour <= 6 THEN 'Night' WHEN delivery_hour <= 12 THEN 'Morning' "
+    "WHEN delivery_hour <= 18 THEN 'Afternoon' ELSE 'Evening' END"
+)
+
+# Regions: rp (performance), rs (summary), geo.
+REGIONAL = f"""
+rp0 AS (
+  SELECT region, COUNT(*) AS total_orders, {MONEY} AS total_revenue, {MONEY} / COUNT(*) AS avg_order_value,
+    CAST(SUM(items_delivered) AS BIGINT) AS items_delivered, CAST(SUM(items_missing) AS BIGINT) AS items_missing,
+    COUNT(DISTINCT driver_id) AS unique_drivers, COUNT(DISTINCT customer_id) AS unique_customers,
+    COUNT(CASE WHEN items_missing > 0 THEN 1 END) AS orders_with_missing FROM ord GROUP BY region),
+rp AS (
+  SELECT *, items_delivered + items_missing AS total_items, {sql_rate('items_missing', 'items_delivered')} AS missing_rate,
+    CAST(orders_with_missing AS DOUBLE) / total_orders * 100.0 AS pct_orders_with_missing,
+    CAST(total_orders AS DOUBLE) / unique_drivers AS orders_per_driver,
+    total_revenue / unique_customers AS revenue_per_customer FROM rp0)"""
+RP_DOUBLES = (
+    "total_revenue avg_order_value missing_rate pct_orders_with_missing orders_per_driver revenue_per_customer"
+)
+GEO = f"""{REGIONAL},
+rs AS (
+  SELECT * EXCLUDE (revenue_per_customer), CAST(total_orders AS DOUBLE) / unique_customers AS orders_per_customer,
+    total_revenue / SUM(total_revenue) OVER () * 100.0 AS revenue_share,
+    CAST(FLOOR(RANK() OVER (ORDER BY missing_rate DESC)
+      + (COUNT(*) OVER (PARTITION BY missing_rate) - 1) / 2.0) AS INTEGER) AS risk_rank FROM rp),
+geo AS (
+  SELECT *, CASE WHEN risk_rank <= 1 THEN 'Critical' WHEN risk_rank <= 2 THEN 'High' WHEN risk_rank <= 4 THEN 'Medium'
+    ELSE 'Low' END AS risk_tier, CAST(items_missing * 15.0 AS DOUBLE) AS estimated_loss_usd,
+    missing_rate - AVG(missing_rate) OVER () AS missing_rate_gap, CAST(28.5383 AS DOUBLE) AS lat,
+    CAST(-81.3792 AS DOUBLE) AS lon FROM rs)"""
+RS_DOUBLES = (
+    "total_revenue avg_order_value missing_rate pct_orders_with_missing orders_per_driver orders_per_customer "
+    "revenue_share"
+)
+GEO_DOUBLES = RS_DOUBLES + " estimated_loss_usd missing_rate_gap lat lon"
