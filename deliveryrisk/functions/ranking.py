@@ -29,42 +29,69 @@ def range_of(df: DataFrame, source: DataFrame, value: str, out: str, ranges: int
     )
 
 
-def running_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), lead: Sequence[str] = (), tail: Sequence[str] = ()
+def running_sums(
+    df: DataFrame,
+    value: str,
+    measures: dict[str, Column],
+    by: Sequence[str] = (),
+    lead: Sequence[str] = (),
+    tail: Sequence[str] = (),
 ) -> DataFrame:
-    """Distinct values per group with ``n``, ``below`` (rows ordered before), ``dense`` rank and ``total``.
+    """Sums per distinct value with, for each measure m, ``m_below`` (sum of smaller values) and ``m_total``.
 
     The order is ``lead`` columns (few distinct values), then ``value``
-    (numeric or date), then ``tail`` columns. NULL values are left out.
+    (numeric or date), then ``tail`` columns, inside each ``by`` group. NULL
+    values are left out. ``dense`` is the dense rank and ``distinct`` the number
+    of distinct values of the group.
     """
     keys = [*by, *lead, value, *tail]
-    rows = df.select(*keys).where(F.col(value).isNotNull())
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    ranged = range_of(counts, rows, value, "_range")
+    rows = df.where(F.col(value).isNotNull())
+    sums = rows.groupBy(*keys).agg(*[c.alias(m) for m, c in measures.items()])
+    ranged = range_of(sums, rows, value, "_range")
     block = [*by, *lead, "_range"]
     inside = Window.partitionBy(*block).orderBy(value, *tail)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("_before", F.sum("n").over(upto) - F.col("n")).withColumn(
-        "_seen", F.row_number().over(inside)
+    local = ranged.withColumns(
+        {f"_{m}_local": F.sum(m).over(upto) - F.col(m) for m in measures} | {"_seen": F.row_number().over(inside)}
+    )
+    blocks = ranged.groupBy(*block).agg(
+        *[F.sum(m).alias(f"_{m}_block") for m in measures], F.count(F.lit(1)).alias("_values")
     )
-    blocks = ranged.groupBy(*block).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values"))
     group = Window.partitionBy(*by)
     earlier = group.orderBy(*lead, "_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         *block,
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_row_offset"),
+        *[F.coalesce(F.sum(f"_{m}_block").over(earlier), F.lit(0)).alias(f"_{m}_offset") for m in measures],
+        *[F.sum(f"_{m}_block").over(group).alias(f"{m}_total") for m in measures],
         F.coalesce(F.sum("_values").over(earlier), F.lit(0)).alias("_value_offset"),
-        F.sum("_rows").over(group).alias("total"),
+        F.sum("_values").over(group).alias("distinct"),
     )
     return local.join(offsets, block).select(
         *keys,
-        "n",
-        (F.col("_before") + F.col("_row_offset")).alias("below"),
+        *measures,
+        *[(F.col(f"_{m}_local") + F.col(f"_{m}_offset")).alias(f"{m}_below") for m in measures],
+        *[f"{m}_total" for m in measures],
         (F.col("_seen") + F.col("_value_offset")).alias("dense"),
-        "total",
+        "distinct",
     )
 
 
+def running_counts(
+    df: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    lead: Sequence[str] = (),
+    tail: Sequence[str] = (),
+    weight: str | None = None,
+) -> DataFrame:
+    """Distinct values with ``n`` rows, ``below`` rows ordered before, and ``total`` rows of the group.
+
+    ``weight`` names a column saying how many rows a row stands for.
+    """
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return running_sums(df, value, {"n": n}, by, lead, tail).withColumnsRenamed({"n_below": "below", "n_total": "total"})
+
+
 def average_rank(below: Column | str = "below", n: Column | str = "n") -> Column:
     """1-based rank in which ties share their mean position."""
     b = F.col(below) if isinstance(below, str) else below
@@ -79,6 +106,7 @@ def with_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
         value,
         average_rank().alias("avg_rank"),
         F.col("dense").cast("int").alias("dense_rank"),
+        (F.col("distinct") - F.col("dense") + 1).cast("int").alias("dense_rank_desc"),
         (average_rank() / F.col("total")).alias("pct_rank"),
     )
     return df.join(ranks, [*by, value], "left")

@@ -15,6 +15,7 @@ from deliveryrisk.config import (
     SPEND_EDGES,
     SPEND_LABELS,
 )
+from deliveryrisk.functions.materialize import materialize
 from deliveryrisk.functions.ranking import quantile, quantiles
 from deliveryrisk.functions.scalar import (
     Scalars,
@@ -29,7 +30,7 @@ from deliveryrisk.functions.scalar import (
     round_half_up,
 )
 from deliveryrisk.operators.drivers import (
-    HAS_MISSING,
+    has_missing,
     fraud_metrics_base,
     fraud_score_columns,
     half_half_score,
@@ -58,7 +59,7 @@ def customer_features(customers: DataFrame, orders: DataFrame) -> DataFrame:
         .withColumnRenamed("total_revenue", "total_spent")
         .withColumn("total_items_ordered", F.col("total_items_delivered") + F.col("total_items_missing"))
     )
-    joined = (
+    joined = materialize(
         customers.join(stats, "customer_id", "left")
         .fillna(0, FILLED)
         .withColumn("age_group", bucketize("customer_age", CUSTOMER_AGE_EDGES, CUSTOMER_AGE_LABELS))
@@ -88,6 +89,7 @@ def suspicious_customers(features: DataFrame, rate_limit: float = 30.0, min_orde
 
 def customer_patterns(features: DataFrame) -> DataFrame:
     """C-4: portfolio counts."""
+    features = materialize(features)
     median = quantile(features, "missing_rate", 0.5)
     issue = F.col("orders_with_missing") > 0
     return features.agg(
@@ -147,7 +149,7 @@ def customer_fraud_stats(customers: DataFrame, orders: DataFrame) -> DataFrame:
         F.sum("items_missing").alias("total_items_missing"),
         money_sum("order_amount").alias("total_spent"),
         F.sum("items_delivered").alias("_delivered"),
-        F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
     )
     rate = F.round(F.coalesce(missing_rate("total_items_missing", "_delivered"), F.lit(0.0)), 2)
     return (
@@ -165,7 +167,7 @@ def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
         money_sum("order_amount").alias("total_spent"),
         F.sum("items_delivered").alias("items_received"),
         F.sum("items_missing").alias("items_reported_missing"),
-        F.count(F.when(HAS_MISSING, 1)).alias("orders_with_claims"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_claims"),
     ).withColumns(
         {
             "total_items": F.col("items_received") + F.col("items_reported_missing"),
@@ -200,6 +202,7 @@ SIGNATURES = ["Always Claiming", "High-Value Opportunist", "Chronic Reporter", "
 
 def behavior_signature(summary: DataFrame) -> DataFrame:
     """C-10: first matching behaviour; limits are a quantile or a floor, whichever is larger."""
+    summary = materialize(summary)
     q = Scalars(
         quantiles(
             summary,
@@ -232,6 +235,7 @@ def behavior_signature(summary: DataFrame) -> DataFrame:
 
 def case_priority(summary: DataFrame) -> DataFrame:
     """C-11: 50/20/15/15 weighting of risk, claim share, spend and claim count."""
+    summary = materialize(summary)
     s = Scalars(
         summary,
         spend_lo=F.min("total_spent"),
@@ -282,7 +286,7 @@ def customer_monthly(orders: DataFrame) -> DataFrame:
         orders.groupBy("customer_id", F.trunc("order_date", "month").alias("month_date"))
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            F.count(F.when(HAS_MISSING, 1)).alias("claim_orders"),
+            F.count(F.when(has_missing(), 1)).alias("claim_orders"),
             F.sum("items_missing").alias("items_missing"),
             F.sum(F.col("items_delivered") + F.col("items_missing")).alias("total_items"),
             money_sum("order_amount").alias("revenue"),
@@ -373,6 +377,7 @@ def case_actions(prioritized: DataFrame, links: DataFrame) -> DataFrame:
 
 def customer_kpis(prioritized: DataFrame) -> DataFrame:
     """C-18: head-line numbers of a customer scope."""
+    prioritized = materialize(prioritized)
     p75 = quantile(prioritized, "avg_order_value", 0.75)
     return prioritized.agg(
         F.count(F.lit(1)).alias("customers"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deliveryrisk.config import (
@@ -13,6 +13,7 @@ from deliveryrisk.config import (
     ITEM_VALUE_USD,
     THRESHOLDS,
 )
+from deliveryrisk.functions.materialize import materialize
 from deliveryrisk.functions.ranking import quantiles
 from deliveryrisk.functions.scalar import (
     Scalars,
@@ -29,7 +30,9 @@ from deliveryrisk.functions.scalar import (
     round_half_up,
 )
 
-HAS_MISSING = F.col("items_missing") > 0
+
+def has_missing() -> Column:
+    return F.col("items_missing") > 0
 
 
 def order_stats(orders: DataFrame, *keys: str) -> DataFrame:
@@ -42,7 +45,7 @@ def order_stats(orders: DataFrame, *keys: str) -> DataFrame:
             F.sum("items_missing").alias("total_items_missing"),
             money_sum("order_amount").alias("total_revenue"),
             money_avg("order_amount").alias("avg_order_value"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
         )
         .withColumn("missing_rate", missing_rate("total_items_missing", "total_items_delivered"))
         .withColumn("pct_orders_with_missing", F.col("orders_with_missing") / F.col("total_orders") * 100.0)
@@ -74,6 +77,7 @@ def driver_features(drivers: DataFrame, orders: DataFrame) -> DataFrame:
 
 def weighted_risk(df: DataFrame, parts: dict[str, tuple[str, float]], on_flat: float = 0.5) -> DataFrame:
     """Weighted sum of min-max scaled columns; ``parts`` maps output name to (column, weight)."""
+    df = materialize(df)
     bounds = {}
     for c, _ in parts.values():
         bounds[f"{c}_lo"], bounds[f"{c}_hi"] = F.min(c), F.max(c)
@@ -99,6 +103,7 @@ def driver_risk_scores(features: DataFrame) -> DataFrame:
 
 def suspicious_entities(features: DataFrame, rate_limit: float, min_orders: int) -> DataFrame:
     """Enough orders and a rate at the limit or more than two deviations above the mean."""
+    features = materialize(features)
     s = Scalars(features, mean=F.avg("missing_rate"), std=F.stddev_samp("missing_rate"))
     rate = F.col("missing_rate")
     enough = s.attach(features.where(F.col("total_orders") >= min_orders))
@@ -114,6 +119,7 @@ def suspicious_drivers(
 
 def compare_drivers(features: DataFrame) -> DataFrame:
     """D-4: distance of each driver from the fleet."""
+    features = materialize(features)
     s = Scalars(features, mean=F.avg("missing_rate"), std=F.stddev_samp("missing_rate"))
     rate = F.col("missing_rate")
     return s.detach(
@@ -130,6 +136,7 @@ def compare_drivers(features: DataFrame) -> DataFrame:
 def driver_comparison_stats(features: DataFrame) -> DataFrame:
     """D-4: the fleet statistics behind the comparison."""
     rate = "missing_rate"
+    features = materialize(features)
     q = Scalars(quantiles(features, {"q1": (rate, 0.25), "med": (rate, 0.5), "q3": (rate, 0.75)}), "_q")
     s = Scalars(features, mean=F.avg(rate))
     stats = s.attach(features).agg(
@@ -183,7 +190,7 @@ def fraud_metrics_base(entity: DataFrame, orders: DataFrame, key: str, extra: tu
     """Order sums for every row of a dimension; NULL sums where there are no orders."""
     stats = orders.groupBy(key).agg(
         F.count(F.lit(1)).alias("orders_count"),
-        F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
         F.sum("items_delivered").alias("total_items_delivered"),
         F.sum("items_missing").alias("total_items_missing"),
         money_sum("order_amount").alias("total_order_value"),
@@ -224,7 +231,7 @@ def driver_fraud_stats(drivers: DataFrame, orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("items_missing").alias("total_items_missing"),
         F.sum("items_delivered").alias("total_items_delivered"),
-        F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
     )
     return (
         drivers.join(stats, "driver_id", "left")
@@ -238,8 +245,10 @@ def driver_fraud_stats(drivers: DataFrame, orders: DataFrame) -> DataFrame:
 
 def high_risk_entities_view(metrics: DataFrame, id_cols: list[str], min_orders: int) -> DataFrame:
     """D-8, C-7: entities above mean + 1 deviation of the item rate, with z-score and level."""
-    base = metrics.where(F.col("orders_count") >= min_orders).select(
-        *id_cols, "orders_count", "total_items_missing", "missing_item_rate_pct", "fraud_risk_score"
+    base = materialize(
+        metrics.where(F.col("orders_count") >= min_orders).select(
+            *id_cols, "orders_count", "total_items_missing", "missing_item_rate_pct", "fraud_risk_score"
+        )
     )
     rate = F.col("missing_item_rate_pct")
     s = Scalars(base, mean=F.avg(rate), std=F.stddev_samp(rate))
@@ -263,7 +272,7 @@ def driver_summary(drivers: DataFrame, orders: DataFrame) -> DataFrame:
         money_sum("order_amount").alias("total_revenue"),
         F.sum("items_delivered").alias("items_delivered"),
         F.sum("items_missing").alias("items_missing"),
-        F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
     ).withColumns(
         {
             "total_items": F.col("items_delivered") + F.col("items_missing"),
@@ -278,6 +287,7 @@ def driver_summary(drivers: DataFrame, orders: DataFrame) -> DataFrame:
 
 def half_half_score(df: DataFrame, rate: str, share: str) -> DataFrame:
     """Two columns scaled by their maximum, 50 points each; 0 for all if either maximum is 0."""
+    df = materialize(df)
     s = Scalars(df, rate=F.max(rate), share=F.max(share))
     score = F.when(
         (s.rate > 0) & (s.share > 0), max_scale(rate, s.rate, 50.0) + max_scale(share, s.share, 50.0)
@@ -337,6 +347,7 @@ RADAR_METRICS = [
 
 def driver_profile_radar(features: DataFrame) -> DataFrame:
     """D-12: five metrics of each driver on a 0-100 scale beside the fleet mean."""
+    features = materialize(features)
     aggs = {}
     for m in RADAR_METRICS:
         aggs |= {f"{m}_lo": F.min(m), f"{m}_hi": F.max(m), f"{m}_mean": F.avg(m)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deliveryrisk.config import ITEM_VALUE_USD
@@ -15,24 +15,26 @@ from deliveryrisk.functions.scalar import (
     percent_of,
     rate_pct,
 )
-from deliveryrisk.operators.drivers import HAS_MISSING
+from deliveryrisk.operators.drivers import has_missing
 
-ROWS = F.count(F.lit(1))
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def count_of(df: DataFrame):
     """Row count as a scalar subquery."""
-    return df.agg(ROWS).scalar()
+    return df.agg(rows()).scalar()
 
 
 def base_totals(orders: DataFrame) -> DataFrame:
     return orders.agg(
-        ROWS.alias("total_orders"),
+        rows().alias("total_orders"),
         money_sum("order_amount").alias("total_revenue"),
         money_avg("order_amount").alias("avg_order_value"),
         F.sum("items_delivered").alias("total_items_delivered"),
         F.sum("items_missing").alias("total_items_missing"),
-        F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
     ).withColumns(
         {
             "overall_missing_rate": missing_rate("total_items_missing", "total_items_delivered"),
@@ -99,12 +101,12 @@ def fraud_summary(
     regions: DataFrame,
 ) -> DataFrame:
     """A-4: view of totals, overall rates and entity counts."""
-    events = missing_items.groupBy("product_id").agg(ROWS.alias("n"))
+    events = missing_items.groupBy("product_id").agg(rows().alias("n"))
     value = events.join(products.select("product_id", "price"), "product_id").agg(F.sum(F.col("n") * F.col("price")))
     return (
         orders.agg(
-            ROWS.alias("total_orders"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            rows().alias("total_orders"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
             F.sum("items_delivered").alias("total_items_delivered"),
             F.sum("items_missing").alias("total_items_missing"),
             money_sum("order_amount").alias("total_order_value"),
@@ -162,7 +164,7 @@ def describe_orders(orders: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(ROWS.alias("n"))
+    return df.groupBy(column).agg(rows().alias("n"))
 
 
 def price_by_category(products: DataFrame) -> DataFrame:

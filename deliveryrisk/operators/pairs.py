@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliveryrisk.config import THRESHOLDS
+from deliveryrisk.functions.materialize import materialize
 from deliveryrisk.functions.ranking import running_counts
 from deliveryrisk.functions.scalar import Scalars, missing_rate, money_sum, rate_pct
-from deliveryrisk.operators.drivers import HAS_MISSING
+from deliveryrisk.operators.drivers import has_missing
 
 
 def pair_interactions(orders: DataFrame) -> DataFrame:
@@ -31,6 +32,7 @@ def pair_interactions(orders: DataFrame) -> DataFrame:
 
 def suspicious_pairs(pairs: DataFrame, drivers: DataFrame, customers: DataFrame) -> DataFrame:
     """X-2: more interactions than the mean and 1.5 times the mean rate, with names."""
+    pairs = materialize(pairs)
     s = Scalars(pairs, n=F.avg("interactions"), rate=F.avg("missing_rate"))
     found = s.detach(
         s.attach(pairs).where((F.col("interactions") > s.n) & (F.col("missing_rate") > s.rate * 1.5))
@@ -48,7 +50,7 @@ def driver_customer_pairs(
         orders.groupBy("driver_id", "customer_id")
         .agg(
             F.count(F.lit(1)).alias("shared_orders"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
             F.sum("items_missing").alias("total_items_missing"),
             money_sum("order_amount").alias("total_order_value"),
         )
@@ -79,6 +81,7 @@ def top_by_interactions(pairs: DataFrame, key: str, n: int) -> DataFrame:
 
 def pair_heatmap(pairs: DataFrame, n: int = 15) -> DataFrame:
     """X-5: rates of the n busiest drivers with the n busiest customers, long form."""
+    pairs = materialize(pairs)
     return (
         pairs.join(F.broadcast(top_by_interactions(pairs, "driver_id", n)), "driver_id", "left_semi")
         .join(F.broadcast(top_by_interactions(pairs, "customer_id", n)), "customer_id", "left_semi")
@@ -88,7 +91,7 @@ def pair_heatmap(pairs: DataFrame, n: int = 15) -> DataFrame:
 
 def interaction_distribution(pairs: DataFrame) -> DataFrame:
     """X-6: pairs per interaction count, their share, and how many pairs have at least that many."""
-    return running_counts(pairs, "interactions").select(
+    return running_counts(materialize(pairs), "interactions").select(
         "interactions",
         F.col("n").alias("pairs"),
         (F.col("n") / F.col("total") * 100.0).alias("pct_of_pairs"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from deliveryrisk.config import DEFAULT_COORDINATES, ITEM_VALUE_USD, REGION_COORDINATES, THRESHOLDS
@@ -16,11 +16,13 @@ from deliveryrisk.functions.scalar import (
     rate_pct,
     ratio_or_null,
 )
-from deliveryrisk.operators.drivers import HAS_MISSING, missing_value_by
+from deliveryrisk.operators.drivers import has_missing, missing_value_by
 from deliveryrisk.operators.scope import scope_items
 
-# Windows over a handful of region rows.
-ALL_REGIONS = Window.partitionBy()
+
+def all_regions() -> WindowSpec:
+    """One partition over a handful of region rows."""
+    return Window.partitionBy()
 
 
 def regional_performance(orders: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def regional_performance(orders: DataFrame) -> DataFrame:
             F.sum("items_missing").alias("items_missing"),
             F.count_distinct("driver_id").alias("unique_drivers"),
             F.count_distinct("customer_id").alias("unique_customers"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
         )
         .withColumns(
             {
@@ -165,7 +167,7 @@ def region_fraud_metrics(
         orders.groupBy("region")
         .agg(
             F.count(F.lit(1)).alias("orders_count"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
             F.sum("items_delivered").alias("total_items_delivered"),
             F.sum("items_missing").alias("total_items_missing"),
             money_sum("order_amount").alias("total_order_value"),
@@ -207,14 +209,14 @@ def regional_summary(orders: DataFrame) -> DataFrame:
     """G-9: revenue share and risk rank; tied regions share their mean rank, cut to a whole number."""
     rate = F.desc("missing_rate")
     ties = F.count(F.lit(1)).over(Window.partitionBy("missing_rate"))
-    rank = F.rank().over(ALL_REGIONS.orderBy(rate)) + (ties - 1) / F.lit(2.0)
+    rank = F.rank().over(all_regions().orderBy(rate)) + (ties - 1) / F.lit(2.0)
     return (
         regional_performance(orders)
         .drop("revenue_per_customer")
         .withColumns(
             {
                 "orders_per_customer": F.col("total_orders") / F.col("unique_customers"),
-                "revenue_share": F.col("total_revenue") / F.sum("total_revenue").over(ALL_REGIONS) * 100.0,
+                "revenue_share": F.col("total_revenue") / F.sum("total_revenue").over(all_regions()) * 100.0,
                 "risk_rank": rank.cast("int"),
             }
         )
@@ -231,7 +233,7 @@ def geo_dataset(summary: DataFrame) -> DataFrame:
         {
             "risk_tier": tier,
             "estimated_loss_usd": F.col("items_missing") * ITEM_VALUE_USD,
-            "missing_rate_gap": F.col("missing_rate") - F.avg("missing_rate").over(ALL_REGIONS),
+            "missing_rate_gap": F.col("missing_rate") - F.avg("missing_rate").over(all_regions()),
             "lat": lookup("region", lat, DEFAULT_COORDINATES[0]),
             "lon": lookup("region", lon, DEFAULT_COORDINATES[1]),
         }
@@ -266,8 +268,8 @@ def regional_product_scope(
         .withColumns(
             {
                 "pct_orders_with_missing": percent_of("orders_with_missing", "total_orders"),
-                "revenue_share": percent_of("total_revenue", F.sum("total_revenue").over(ALL_REGIONS)),
-                "risk_rank": F.dense_rank().over(ALL_REGIONS.orderBy(F.desc("missing_rate"))),
+                "revenue_share": percent_of("total_revenue", F.sum("total_revenue").over(all_regions())),
+                "risk_rank": F.dense_rank().over(all_regions().orderBy(F.desc("missing_rate"))),
             }
         )
         .drop("_delivered")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from deliveryrisk.config import THRESHOLDS
@@ -22,9 +22,12 @@ from deliveryrisk.functions.scalar import (
     percent_of,
     rate_pct,
 )
-from deliveryrisk.operators.drivers import HAS_MISSING
+from deliveryrisk.operators.drivers import has_missing
 
-CALENDAR = Window.partitionBy()
+
+def calendar() -> WindowSpec:
+    """One partition over period rows."""
+    return Window.partitionBy()
 
 
 def totals_by(orders: DataFrame, **keys) -> DataFrame:
@@ -37,7 +40,7 @@ def totals_by(orders: DataFrame, **keys) -> DataFrame:
             money_avg("order_amount").alias("avg_order_value"),
             F.sum("items_delivered").alias("items_delivered"),
             F.sum("items_missing").alias("items_missing"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
         )
         .withColumns(
             {
@@ -48,7 +51,9 @@ def totals_by(orders: DataFrame, **keys) -> DataFrame:
     )
 
 
-MONTH = F.trunc("order_date", "month")
+
+def month_start() -> Column:
+    return F.trunc("order_date", "month")
 
 # Interval steps of the period kinds.
 STEPS = {"day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months"}
@@ -78,7 +83,7 @@ def aggregate_by_period(orders: DataFrame, period: str = "month") -> DataFrame:
 def monthly_trends(orders: DataFrame) -> DataFrame:
     """T-2: calendar months with changes from month to month."""
     base = (
-        orders.groupBy(MONTH.alias("month"))
+        orders.groupBy(month_start().alias("month"))
         .agg(
             F.count(F.lit(1)).alias("total_orders"),
             money_sum("order_amount").alias("total_revenue"),
@@ -87,7 +92,7 @@ def monthly_trends(orders: DataFrame) -> DataFrame:
             F.sum("items_missing").alias("items_missing"),
             F.count_distinct("driver_id").alias("unique_drivers"),
             F.count_distinct("customer_id").alias("unique_customers"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
         )
         .withColumns(
             {
@@ -97,7 +102,7 @@ def monthly_trends(orders: DataFrame) -> DataFrame:
             }
         )
     )
-    by_month = CALENDAR.orderBy("month")
+    by_month = calendar().orderBy("month")
 
     def change(c):
         before = F.lag(c).over(by_month)
@@ -114,7 +119,7 @@ def monthly_trends(orders: DataFrame) -> DataFrame:
 
 def monthly_rates(orders: DataFrame) -> DataFrame:
     """Month and missing rate only, for trend and anomaly operators."""
-    return totals_by(orders, month=MONTH)
+    return totals_by(orders, month=month_start())
 
 
 def weekly_patterns(orders: DataFrame) -> DataFrame:
@@ -146,9 +151,9 @@ def hourly_patterns(orders: DataFrame) -> DataFrame:
 
 def monthly_fraud_trends(orders: DataFrame, missing_items: DataFrame, products: DataFrame) -> DataFrame:
     """T-6: view with missing value and change of missing items."""
-    stats = orders.groupBy(MONTH.alias("month_start")).agg(
+    stats = orders.groupBy(month_start().alias("month_start")).agg(
         F.count(F.lit(1)).alias("orders_count"),
-        F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
         F.sum("items_delivered").alias("total_items_delivered"),
         F.sum("items_missing").alias("total_items_missing"),
         money_sum("order_amount").alias("total_order_value"),
@@ -159,12 +164,12 @@ def monthly_fraud_trends(orders: DataFrame, missing_items: DataFrame, products:
         .agg(F.sum("price").alias("v"))
     )
     value = (
-        orders.select("order_id", MONTH.alias("month_start"))
+        orders.select("order_id", month_start().alias("month_start"))
         .join(per_order, "order_id")
         .groupBy("month_start")
         .agg(F.sum("v").alias("total_missing_value"))
     )
-    before = F.lag("total_items_missing").over(CALENDAR.orderBy("month_start"))
+    before = F.lag("total_items_missing").over(calendar().orderBy("month_start"))
     return (
         stats.join(value, "month_start", "left")
         .fillna(0.0, ["total_missing_value"])
@@ -185,7 +190,7 @@ def view_by(orders: DataFrame, **keys) -> DataFrame:
         orders.groupBy(*[c.alias(n) for n, c in keys.items()])
         .agg(
             F.count(F.lit(1)).alias("orders_count"),
-            F.count(F.when(HAS_MISSING, 1)).alias("orders_with_missing"),
+            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
             F.sum("items_delivered").alias("total_items_delivered"),
             F.sum("items_missing").alias("total_items_missing"),
             money_sum("order_amount").alias("total_order_value"),
@@ -215,7 +220,7 @@ def day_of_week_fraud_patterns(orders: DataFrame) -> DataFrame:
 
 def legacy_trends(orders: DataFrame, by: str) -> DataFrame:
     """T-9: older monthly and hourly views."""
-    key = MONTH.alias("month") if by == "month" else F.col("delivery_hour").alias("hour_of_day")
+    key = month_start().alias("month") if by == "month" else F.col("delivery_hour").alias("hour_of_day")
     rows = orders if by == "month" else orders.where(F.col("delivery_hour").isNotNull())
     aggs = [F.count(F.lit(1)).alias("total_orders"), F.sum("items_missing").alias("total_items_missing")]
     if by == "month":
@@ -280,12 +285,12 @@ def temporal_anomalies(orders: DataFrame, k: float = THRESHOLDS.anomaly_std) ->
 def trend_direction(monthly: DataFrame) -> DataFrame:
     """T-12: slope over the month index, first against last quarter, peak and lowest month."""
     rate = F.col("missing_rate")
-    order = CALENDAR.orderBy("month")
+    order = calendar().orderBy("month")
     ranked = monthly.select(
         "month",
         "missing_rate",
         (F.row_number().over(order) - 1).alias("i"),
-        F.count(F.lit(1)).over(CALENDAR).alias("n"),
+        F.count(F.lit(1)).over(calendar()).alias("n"),
     )
     edge = F.when(F.col("n") >= 3, 3).otherwise(1)
     stats = ranked.agg(
@@ -334,7 +339,7 @@ def temporal_summary(orders: DataFrame, k: float = THRESHOLDS.anomaly_std) -> Da
         orders.agg(
             F.min("order_date").alias("date_start"),
             F.max("order_date").alias("date_end"),
-            F.count_distinct(MONTH).alias("total_months"),
+            F.count_distinct(month_start()).alias("total_months"),
         ),
         "_dates",
     )
@@ -364,7 +369,7 @@ def temporal_summary(orders: DataFrame, k: float = THRESHOLDS.anomaly_std) -> Da
 def trend_delta(monthly: DataFrame) -> DataFrame:
     """T-14: last month of the year against the one before, mean and peak."""
     rate = F.col("missing_rate")
-    last = F.row_number().over(CALENDAR.orderBy(F.desc("month")))
+    last = F.row_number().over(calendar().orderBy(F.desc("month")))
     stats = monthly.withColumn("_r", last).agg(
         F.max(F.when(F.col("_r") == 1, rate)).alias("current_rate"),
         F.max(F.when(F.col("_r") == 2, rate)).alias("previous_rate"),
@@ -388,8 +393,8 @@ def hourly_baseline(orders: DataFrame) -> DataFrame:
     hourly = totals_by(orders, hour=F.coalesce("delivery_hour", F.lit(0))).select(
         "hour", F.col("total_orders").alias("orders"), "items_missing", "total_items", "missing_rate"
     )
-    mean = F.avg("missing_rate").over(CALENDAR)
-    limit = mean + 2 * F.stddev_samp("missing_rate").over(CALENDAR)
+    mean = F.avg("missing_rate").over(calendar())
+    limit = mean + 2 * F.stddev_samp("missing_rate").over(calendar())
     return hourly.withColumns({"baseline": mean, "upper_threshold": limit}).withColumn(
         "is_anomaly", F.coalesce(F.col("missing_rate") > F.col("upper_threshold"), F.lit(False))
     )
@@ -398,7 +403,7 @@ def hourly_baseline(orders: DataFrame) -> DataFrame:
 def hourly_watchtower(baseline: DataFrame, recent: int = 6) -> DataFrame:
     """T-15: threat level from the last hours against the daily mean."""
     rate = F.col("missing_rate")
-    latest = F.row_number().over(CALENDAR.orderBy(F.desc("hour")))
+    latest = F.row_number().over(calendar().orderBy(F.desc("hour")))
     stats = baseline.withColumn("_r", latest).agg(
         F.avg(F.when(F.col("_r") <= recent, rate)).alias("current_rate"),
         F.avg(rate).alias("baseline_rate"),
@@ -434,8 +439,8 @@ def scoped_trend(scoped_orders: DataFrame) -> DataFrame:
     rate = F.col("missing_rate")
     months = trends_month_of_year(scoped_orders).select(
         rate,
-        F.row_number().over(CALENDAR.orderBy("month")).alias("_r"),
-        F.count(F.lit(1)).over(CALENDAR).alias("_n"),
+        F.row_number().over(calendar().orderBy("month")).alias("_r"),
+        F.count(F.lit(1)).over(calendar()).alias("_n"),
     )
     half = F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
     stats = months.agg(

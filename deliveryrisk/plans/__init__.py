@@ -4,7 +4,18 @@ from importlib import import_module
 
 from deliveryrisk.plans.registry import QUERIES, oracle_text, spark_callable
 
-FAMILIES = ["drivers", "customers", "pairs", "features", "overview", "regions", "temporal"]
+FAMILIES = [
+    "drivers",
+    "customers",
+    "pairs",
+    "features",
+    "overview",
+    "regions",
+    "temporal",
+    "drift",
+    "products",
+    "stats",
+]
 
 
 def load() -> dict:
