@@ -157,6 +157,14 @@ def money_avg(c: ColumnLike) -> Column:
     return F.sum(F.rint(col(c) * 100).cast("bigint")) / 100.0 / F.count(col(c))
 
 
+def safe_corr(x: ColumnLike, y: ColumnLike) -> Column:
+    """Pearson correlation over rows where both are known; NULL when either does not vary."""
+    known = col(x).isNotNull() & col(y).isNotNull()
+    a = F.when(known, col(x).cast("double"))
+    b = F.when(known, col(y).cast("double"))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 class Scalars:
     """One-row statistics usable as constants in another frame.
 

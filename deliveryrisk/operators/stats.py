@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deliveryrisk.config import EXPERIENCE_EDGES, EXPERIENCE_LABELS
 from deliveryrisk.functions.ranking import quantiles, running_sums
-from deliveryrisk.functions.scalar import Scalars, bucketize, delivery_period, missing_rate
+from deliveryrisk.functions.scalar import Scalars, bucketize, delivery_period, missing_rate, safe_corr
 from deliveryrisk.functions.tails import ks_p, normal_p, student_p
 
 
@@ -20,7 +20,7 @@ def rows() -> Column:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """ST-1: Pearson matrix in long form, all pairs in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    stats = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+    stats = df.agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = []
     for a, b in pairs:
         for x, y in {(a, b), (b, a)}:
@@ -35,7 +35,7 @@ def safe_correlation(df: DataFrame, x: str, y: str, min_points: int = 8) -> Data
         rows().alias("sample_size"),
         (F.min("x") != F.max("x")).alias("_vx"),
         (F.min("y") != F.max("y")).alias("_vy"),
-        F.corr("x", "y").alias("_r"),
+        safe_corr("x", "y").alias("_r"),
     )
     status = (
         F.when(F.col("sample_size") < min_points, "insufficient_sample")
@@ -76,11 +76,11 @@ def h1_pearson(driver_summary: DataFrame) -> DataFrame:
     rate = F.col("missing_rate")
     stats = valid.agg(
         rows().alias("n"),
-        F.corr(F.col("trips").cast("double"), rate).alias("_r"),
+        safe_corr("trips", rate).alias("_r"),
         F.avg(F.when(F.col("_level") == "Novice", rate)).alias("novice_rate"),
         F.avg(F.when(F.col("_level") == "Expert", rate)).alias("expert_rate"),
     )
-    usable = (F.col("n") >= 3) & F.col("_r").isNotNull() & ~F.isnan("_r")
+    usable = (F.col("n") >= 3) & F.col("_r").isNotNull()
     r = F.when(usable, F.col("_r")).otherwise(F.lit(0.0))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
     return (
@@ -184,7 +184,7 @@ def ks_two_sample(df: DataFrame, value: str, is_second: str, by: Sequence[str] =
 
 def top_correlates(df: DataFrame, target: str, columns: Sequence[str], n: int = 5) -> DataFrame:
     """ST-11: columns with the highest correlation with a target."""
-    stats = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
+    stats = df.agg(*[safe_corr(c, target).alias(c) for c in columns])
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in columns])
     return (
         stats.select(F.explode(pairs).alias("e"))

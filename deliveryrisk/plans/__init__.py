@@ -15,6 +15,8 @@ FAMILIES = [
     "drift",
     "products",
     "stats",
+    "indicators",
+    "ingest",
 ]
 
 
