@@ -17,6 +17,7 @@ FAMILIES = [
     "stats",
     "indicators",
     "ingest",
+    "models",
 ]
 
 
