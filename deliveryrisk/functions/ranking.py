@@ -1,11 +1,11 @@
 """Ranks, quantiles and positions that never put one group into one task.
 
 Rows are first reduced to distinct values with counts (a partial aggregation, so
-a hot value costs one row per task). Distinct values are cut into ranges by
-approximate percentiles; ranks are counted inside each range and moved by the
-total of the ranges before it. Only the range totals, a bounded number per
-group, meet in one window partition. The cut points affect balance only, never
-the result.
+a hot value costs one row per task), and that reduced frame is written once.
+When it is large its values are cut into ranges by approximate percentiles;
+ranks are counted inside each range and moved by the total of the ranges before
+it. Only the range totals, a bounded number per group, meet in one window
+partition. The cut points affect balance only, never the result.
 """
 
 from __future__ import annotations
@@ -15,18 +15,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deliveryrisk.functions.materialize import materialize
+
 RANGES = 64
+# Up to this many distinct values one window partition is enough.
+SMALL = 20_000
+
+
+def range_number(value: str, bounds: Sequence) -> Column:
+    """Number of bounds below a value, as a balanced tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(value) <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
 
 
-def range_of(df: DataFrame, source: DataFrame, value: str, out: str, ranges: int = RANGES) -> DataFrame:
-    """Add the number of the value range a row belongs to (monotone in the value)."""
+def range_bounds(sums: DataFrame, value: str, ranges: int) -> list:
+    """Cut points of the distinct values; none when they are few."""
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = source.agg(F.percentile_approx(value, cuts, 100 * ranges).alias("b")).scalar()
-    return (
-        df.withColumn("_bounds", bounds)
-        .withColumn(out, F.size(F.filter("_bounds", lambda b: b < F.col(value))))
-        .drop("_bounds")
-    )
+    row = sums.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, cuts, 100 * ranges).alias("b")).first()
+    return sorted(set(row["b"])) if row["n"] > SMALL else []
 
 
 def running_sums(
@@ -36,6 +48,7 @@ def running_sums(
     by: Sequence[str] = (),
     lead: Sequence[str] = (),
     tail: Sequence[str] = (),
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Sums per distinct value with, for each measure m, ``m_below`` (sum of smaller values) and ``m_total``.
 
@@ -46,18 +59,23 @@ def running_sums(
     """
     keys = [*by, *lead, value, *tail]
     rows = df.where(F.col(value).isNotNull())
-    sums = rows.groupBy(*keys).agg(*[c.alias(m) for m, c in measures.items()])
-    ranged = range_of(sums, rows, value, "_range")
-    block = [*by, *lead, "_range"]
-    inside = Window.partitionBy(*block).orderBy(value, *tail)
+    sums = materialize(rows.groupBy(*keys).agg(*[c.alias(m) for m, c in measures.items()]))
+    bounds = range_bounds(sums, value, ranges)
+    block = [*by, *lead, "_range"] if bounds else list(by)
+    ranged = sums.withColumn("_range", range_number(value, bounds)) if bounds else sums
+    inside = Window.partitionBy(*block).orderBy(*([] if bounds else lead), value, *tail)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns(
-        {f"_{m}_local": F.sum(m).over(upto) - F.col(m) for m in measures} | {"_seen": F.row_number().over(inside)}
+        {f"{m}_below": F.sum(m).over(upto) - F.col(m) for m in measures} | {"dense": F.row_number().over(inside)}
     )
+    group = Window.partitionBy(*by)
+    if not bounds:
+        return local.withColumns(
+            {f"{m}_total": F.sum(m).over(group) for m in measures} | {"distinct": F.count(F.lit(1)).over(group)}
+        )
     blocks = ranged.groupBy(*block).agg(
         *[F.sum(m).alias(f"_{m}_block") for m in measures], F.count(F.lit(1)).alias("_values")
     )
-    group = Window.partitionBy(*by)
     earlier = group.orderBy(*lead, "_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         *block,
@@ -69,9 +87,9 @@ def running_sums(
     return local.join(offsets, block).select(
         *keys,
         *measures,
-        *[(F.col(f"_{m}_local") + F.col(f"_{m}_offset")).alias(f"{m}_below") for m in measures],
+        *[(F.col(f"{m}_below") + F.col(f"_{m}_offset")).alias(f"{m}_below") for m in measures],
         *[f"{m}_total" for m in measures],
-        (F.col("_seen") + F.col("_value_offset")).alias("dense"),
+        (F.col("dense") + F.col("_value_offset")).alias("dense"),
         "distinct",
     )
 

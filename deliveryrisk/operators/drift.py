@@ -7,19 +7,38 @@ from pyspark.sql import functions as F
 
 from deliveryrisk.functions.materialize import materialize
 from deliveryrisk.functions.ranking import running_counts
-from deliveryrisk.functions.scalar import missing_rate
+from deliveryrisk.functions.scalar import Scalars, missing_rate
 from deliveryrisk.operators.stats import ks_two_sample
 
 DRIFT_FEATURES = ["order_amount", "items_missing", "missing_rate"]
 
 
 def time_halves(orders: DataFrame) -> DataFrame:
-    """M-1: mark the later half of the orders by (date, id); the first half is rounded down."""
-    orders = materialize(orders)
-    place = running_counts(orders, "order_id", lead=["order_date"]).select(
-        "order_id", (F.col("below") >= F.floor(F.col("total") / 2)).alias("is_current")
+    """M-1: mark the later half of the orders by (date, id); the first half is rounded down.
+
+    The middle date comes from counts per date; only the orders of that one
+    date are ranked by id.
+    """
+    orders = materialize(orders.withColumn("missing_rate", missing_rate("items_missing", "items_delivered")))
+    half = F.floor(F.col("total") / 2)
+    middle = Scalars(
+        running_counts(orders, "order_date")
+        .where((F.col("below") <= half) & (half < F.col("below") + F.col("n")))
+        .select("order_date", (half - F.col("below")).alias("rest")),
+        "_middle",
+    )
+    same_day = middle.attach(orders).where(F.col("order_date") == middle.order_date)
+    first = Scalars(
+        running_counts(same_day.select("order_id", middle.rest.alias("rest")), "order_id", tail=["rest"])
+        .where(F.col("below") == F.col("rest"))
+        .select("order_id"),
+        "_first",
+    )
+    late = (F.col("order_date") > middle.order_date) | (
+        (F.col("order_date") == middle.order_date) & (F.col("order_id") >= first.order_id)
     )
-    return orders.withColumn("missing_rate", missing_rate("items_missing", "items_delivered")).join(place, "order_id")
+    marked = first.attach(middle.attach(orders)).withColumn("is_current", late)
+    return first.detach(middle.detach(marked))
 
 
 def months_split(orders: DataFrame, first_current_month) -> DataFrame:
