@@ -10,10 +10,12 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the session; a temporary one only where none is named, as in tests."""
+    """Use the shared folder named by the session; a temporary one only in local mode where none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get(CHECKPOINT_SETTING, None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
 
 
