@@ -1,7 +1,5 @@
 """Drift queries (M-1)."""
 
-from pyspark.sql import functions as F
-
 from deliveryrisk.operators import drift as DR
 from deliveryrisk.plans.registry import query, sql_rate
 
