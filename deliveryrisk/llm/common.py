@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -108,19 +109,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of some texts, and the number of words of each text."""
-    buf = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+class Words(NamedTuple):
+    """Words of some texts joined by a space: where they lie, their hashes, and how many each text has."""
+
+    buf: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+
+
+def find_words(texts: list[bytes]) -> Words:
+    """Words of the lower-cased texts with 64-bit hashes (a polynomial of random byte values, then mixed)."""
+    buf = _LOWER[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-    if buf.size == 0:
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
-    space = _IS_SPACE[buf]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], _IS_SPACE[buf], [True])).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     forth, back = _powers(buf.size + 1)
     total = np.zeros(buf.size + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[_LOWER[buf]] * forth[: buf.size], out=total[1:])
-    words = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    np.cumsum(_VALUE[buf] * forth[: buf.size], out=total[1:])
+    hashes = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
     text_end = np.cumsum(lengths + 1)
     counts = np.diff(np.concatenate(([0], np.searchsorted(begin, text_end))))
-    return words, counts
+    return Words(buf, begin, end, hashes, counts)

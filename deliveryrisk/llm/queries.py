@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 REGISTERED = {
     "op3_exact_dedup": ("exact_dedup", "OP3_SQL"),
     "op7_pii": ("pii", None),
+    "op8_lm_scoring": ("lm_scoring", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
     "op10_url_filter": ("url_filter", None),
 }
