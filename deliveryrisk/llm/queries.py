@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # query: (module, constant with its SQL or None)
 REGISTERED = {
     "op3_exact_dedup": ("exact_dedup", "OP3_SQL"),
+    "op6_packing": ("packing", None),
     "op7_pii": ("pii", None),
     "op8_lm_scoring": ("lm_scoring", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
