@@ -51,10 +51,15 @@ def repeated_slots(digests: DataFrame, sha: str, bits: int) -> Column:
     hits = digests.select(F.explode(F.array(*slots(F.col(sha), bits))).alias("slot"))
     # the two slots of one row may be the same, which only lets the row through
     often = hits.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = often.groupBy(F.floor(F.col("slot") / BLOCK).alias("block")).agg(
+    return bit_blocks(often.select("slot"), bits)
+
+
+def bit_blocks(slots_: DataFrame, bits: int) -> Column:
+    """A filter with the bits of a column ``slot`` set, as an array of bit blocks (one value)."""
+    blocks = slots_.groupBy(F.floor(F.col("slot") / BLOCK).alias("block")).agg(
         F.bitmap_construct_agg(F.col("slot") % BLOCK).alias("bits")
     )
-    every = digests.sparkSession.range(0, max(1, bits // BLOCK), 1, 1).withColumnRenamed("id", "block")
+    every = slots_.sparkSession.range(0, max(1, bits // BLOCK), 1, 1).withColumnRenamed("id", "block")
     return (
         every.join(blocks, "block", "left")
         .agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("b"))
@@ -63,19 +68,19 @@ def repeated_slots(digests: DataFrame, sha: str, bits: int) -> Column:
     )
 
 
-def may_repeat(sha: Column, bits: int, filled: Column) -> Column:
-    """Whether all slots of a digest were hit more than once."""
+def in_blocks(slot: Column, filled: Column) -> Column:
+    """Whether a slot's bit is set."""
+    block = F.element_at(filled, (F.floor(slot / BLOCK) + 1).cast("int"))
+    at = slot % BLOCK
+    byte = F.conv(F.hex(F.substring(block, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
 
-    def test(slot: Column) -> Column:
-        block = F.element_at(filled, (F.floor(slot / BLOCK) + 1).cast("int"))
-        at = slot % BLOCK
-        byte = F.conv(F.hex(F.substring(block, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int")
-        return F.coalesce(bit % 2 == 1, F.lit(False))
 
+def may_repeat(sha: Column, bits: int, filled: Column) -> Column:
+    """Whether all slots of a digest were hit more than once."""
     hit = F.lit(True)
     for s in slots(sha, bits):
-        hit = hit & test(s)
+        hit = hit & in_blocks(s, filled)
     return hit
 
 
