@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # query: (module, constant with its SQL or None)
 REGISTERED = {
     "op1_near_copies": ("near_copies", None),
+    "op2_neighbours": ("neighbours", None),
     "op3_exact_dedup": ("exact_dedup", "OP3_SQL"),
     "op5_quality": ("quality", None),
     "op6_packing": ("packing", None),
