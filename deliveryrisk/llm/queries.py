@@ -12,6 +12,7 @@ REGISTERED = {
     "op1_near_copies": ("near_copies", None),
     "op2_neighbours": ("neighbours", None),
     "op3_exact_dedup": ("exact_dedup", "OP3_SQL"),
+    "op4_license_scan": ("licenses", None),
     "op5_quality": ("quality", None),
     "op6_packing": ("packing", None),
     "op7_pii": ("pii", None),
