@@ -426,13 +426,21 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows that stay, with all their columns: of each component the row with the smallest id.
 
-    Only the numbers of the rows that go meet the texts. ``docs`` should be a
-    stored table, whose rows are read in the same places each time.
+    A filter of bits over the numbers of the rows that go lets most texts pass
+    straight through; the others meet those numbers in a join. ``docs`` should
+    be a stored table, whose rows are read in the same places each time.
     """
     row = free_name(docs, "row__")
-    gone = near_copies(docs, doc_id, text, width, percent).where("row_ <> first_row").select(F.col("row_").alias(row))
+    gone = stored(
+        near_copies(docs, doc_id, text, width, percent).where("row_ <> first_row").select(F.col("row_").alias(row))
+    )
+    bits = filter_bits(gone.count())
+    slot = F.pmod(F.xxhash64(row), F.lit(bits))
+    listed = in_blocks(slot, bit_blocks(gone.select(slot.alias("slot")), bits))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(stored(gone), row, "left_anti").select(*docs.columns)
+    straight = numbered.where(~listed)
+    rest = numbered.where(listed).join(gone, row, "left_anti")
+    return straight.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def op1_near_copies(spark, sf_dir: str) -> DataFrame:
