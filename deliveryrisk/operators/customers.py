@@ -302,7 +302,8 @@ def customer_monthly(orders: DataFrame) -> DataFrame:
 
 def driver_links(orders: DataFrame, driver_summary: DataFrame, customer_summary: DataFrame) -> DataFrame:
     """C-15: drivers linked to each customer, their risk gap and link status."""
-    links = orders.groupBy("customer_id", "driver_id").agg(
+    known_keys = F.col("customer_id").isNotNull() & F.col("driver_id").isNotNull()
+    links = orders.where(known_keys).groupBy("customer_id", "driver_id").agg(
         F.count(F.lit(1)).alias("interactions"),
         F.sum("items_missing").alias("items_missing"),
         F.sum(F.col("items_delivered") + F.col("items_missing")).alias("total_items"),

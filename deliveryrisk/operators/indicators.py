@@ -12,25 +12,36 @@ from deliveryrisk.functions.materialize import materialize
 from deliveryrisk.functions.ranking import quantiles
 from deliveryrisk.functions.scalar import Scalars, min_max, missing_rate, risk_band
 from deliveryrisk.operators.drivers import has_missing
+from deliveryrisk.operators.pairs import collusion_indicators, pair_interactions
+
+
+FOLDED = ["total_orders", "items_missing", "items_delivered", "total_spent", "orders_with_missing"]
+
+
+def fold_orders(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and sums of the orders of each combination of keys."""
+    return orders.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_orders"),
+        F.sum("items_missing").alias("items_missing"),
+        F.sum("items_delivered").alias("items_delivered"),
+        F.sum("order_amount").alias("total_spent"),
+        F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
+    )
 
 
 def entity_stats(orders: DataFrame, key: str) -> DataFrame:
-    """Counts and rates of the entities that have orders."""
-    return (
-        orders.groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("total_orders"),
-            F.sum("items_missing").alias("items_missing"),
-            F.sum("items_delivered").alias("items_delivered"),
-            F.sum("order_amount").alias("total_spent"),
-            F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),
-        )
-        .withColumns(
-            {
-                "missing_rate": missing_rate("items_missing", "items_delivered"),
-                "pct_orders_with_missing": F.col("orders_with_missing") / F.col("total_orders") * 100.0,
-            }
-        )
+    """Counts and rates of the entities that have orders; orders without the key belong to none.
+
+    Takes orders or their ``fold_orders`` by more keys.
+    """
+    known = orders.where(F.col(key).isNotNull())
+    folded = set(FOLDED) <= set(orders.columns)
+    sums = known.groupBy(key).agg(*[F.sum(c).alias(c) for c in FOLDED]) if folded else fold_orders(known, [key])
+    return sums.withColumns(
+        {
+            "missing_rate": missing_rate("items_missing", "items_delivered"),
+            "pct_orders_with_missing": F.col("orders_with_missing") / F.col("total_orders") * 100.0,
+        }
     )
 
 
@@ -151,13 +162,15 @@ def pair_indicators(collusion: DataFrame) -> DataFrame:
     )
 
 
-def all_indicators(orders: DataFrame, collusion: DataFrame, k: float = THRESHOLDS.anomaly_std) -> DataFrame:
-    """R-4: indicators of all four detectors."""
+def all_indicators(orders: DataFrame, k: float = THRESHOLDS.anomaly_std) -> DataFrame:
+    """R-4: indicators of all four detectors, from orders folded once by driver, customer and region."""
+    folded = materialize(fold_orders(orders, ["driver_id", "customer_id", "region"]))
+    pairs = pair_interactions(folded.withColumnRenamed("total_orders", "interactions"))
     parts = {
-        "driver_patterns": driver_indicators(orders, k),
-        "customer_patterns": customer_indicators(orders, k),
-        "collusion_patterns": pair_indicators(collusion),
-        "regional_patterns": region_indicators(orders, k),
+        "driver_patterns": driver_indicators(folded, k),
+        "customer_patterns": customer_indicators(folded, k),
+        "collusion_patterns": pair_indicators(collusion_indicators(pairs)),
+        "regional_patterns": region_indicators(folded, k),
     }
     return reduce(
         DataFrame.unionByName, [df.withColumn("pattern_type", F.lit(name)) for name, df in parts.items()]
@@ -402,11 +415,24 @@ def high_risk_scores(scores: DataFrame, threshold: float = THRESHOLDS.high) -> D
 
 
 def overall_report(
-    statistics: DataFrame, report: DataFrame, extremes: DataFrame, temporal: DataFrame, drivers: DataFrame, n: int = 20
+    statistics: DataFrame, report: DataFrame, extremes: DataFrame, temporal: DataFrame, n: int = 20
 ) -> DataFrame:
-    """R-7: one JSON document; every list in it is a top-n or one row per region."""
-    counts = fraud_report_counts(report).where(F.col("level") == 0)
-    top = drivers.orderBy(F.desc("risk_score"), "driver_id").limit(n).select("driver_id", "risk_score", "risk_category")
+    """R-7: one JSON document; every list in it is a top-n or one row per region.
+
+    Holds the number of indicators by level and the first ``n`` high-risk
+    indicators of all types, highest score first.
+    """
+    level = F.col("risk_level")
+    counts = report.agg(
+        F.count(F.lit(1)).alias("total_indicators"),
+        *[F.count(F.when(level == x, 1)).alias(f"{x}_risk_count") for x in ("high", "medium", "low")],
+    )
+    top = (
+        report.where(level == "high")
+        .orderBy(F.desc("score"), "pattern_type", "entity_id")
+        .limit(n)
+        .select("pattern_type", "entity_type", "entity_id", "indicator_name", "score")
+    )
 
     def one(df):
         return df.select(F.struct("*")).scalar()
@@ -416,9 +442,9 @@ def overall_report(
 
     doc = statistics.select(
         F.struct("*").alias("overall"),
-        many(counts).alias("fraud"),
+        one(counts).alias("fraud"),
         many(extremes).alias("regions"),
         one(temporal).alias("temporal"),
-        many(top).alias("top_drivers"),
+        many(top).alias("high_risk_entities"),
     )
     return doc.select(F.to_json(F.struct("*")).alias("report"))

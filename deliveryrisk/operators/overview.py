@@ -27,8 +27,10 @@ def count_of(df: DataFrame):
     return df.agg(rows()).scalar()
 
 
-def base_totals(orders: DataFrame) -> DataFrame:
+def base_totals(orders: DataFrame, *more: Column) -> DataFrame:
+    """Totals and rates of all orders, with other aggregates of the same pass."""
     return orders.agg(
+        *more,
         rows().alias("total_orders"),
         money_sum("order_amount").alias("total_revenue"),
         money_avg("order_amount").alias("avg_order_value"),
@@ -48,48 +50,36 @@ def order_aggregations(orders: DataFrame) -> DataFrame:
     return base_totals(orders)
 
 
-def overall_statistics(orders: DataFrame, drivers: DataFrame, customers: DataFrame) -> DataFrame:
-    """A-2: totals with known and active entities."""
-    activity = Scalars(
-        orders.agg(
-            F.count_distinct("driver_id").alias("drivers"),
-            F.count_distinct("customer_id").alias("customers"),
-            F.count_distinct("region").alias("regions"),
-            F.min("order_date").alias("first"),
-            F.max("order_date").alias("last"),
-        )
-    )
-    return activity.detach(
-        activity.attach(base_totals(orders)).withColumns(
-            {
-                "total_drivers": count_of(drivers),
-                "active_drivers": activity.drivers,
-                "total_customers": count_of(customers),
-                "active_customers": activity.customers,
-                "total_regions": activity.regions,
-                "date_range_start": activity.first,
-                "date_range_end": activity.last,
-            }
-        )
+def activity() -> list[Column]:
+    """Entities with orders and the dates they span."""
+    return [
+        F.count_distinct("driver_id").alias("active_drivers"),
+        F.count_distinct("customer_id").alias("active_customers"),
+        F.count_distinct("region").alias("total_regions"),
+        F.min("order_date").alias("date_range_start"),
+        F.max("order_date").alias("date_range_end"),
+    ]
+
+
+def overall_statistics(orders: DataFrame, drivers: DataFrame, customers: DataFrame, *more: Column) -> DataFrame:
+    """A-2: totals with known and active entities; one pass over the orders."""
+    return base_totals(orders, *activity(), *more).withColumns(
+        {"total_drivers": count_of(drivers), "total_customers": count_of(customers)}
     )
 
 
 def overview_metrics(orders: DataFrame, drivers: DataFrame, customers: DataFrame) -> DataFrame:
     """A-1: overall statistics with order value spread and estimated loss."""
-    s = Scalars(
-        orders.agg(F.min("order_amount").alias("low"), F.max("order_amount").alias("high")), "_spread"
-    )
+    spread = (F.min("order_amount").alias("min_order_value"), F.max("order_amount").alias("max_order_value"))
     q = Scalars(quantiles(orders, {"median": ("order_amount", 0.5)}), "_median")
-    out = q.attach(s.attach(overall_statistics(orders, drivers, customers))).withColumns(
+    out = q.attach(overall_statistics(orders, drivers, customers, *spread)).withColumns(
         {
             "median_order_value": q.median,
-            "min_order_value": s.low,
-            "max_order_value": s.high,
             "total_items_ordered": F.col("total_items_delivered") + F.col("total_items_missing"),
             "estimated_loss": F.col("total_items_missing") * ITEM_VALUE_USD,
         }
     )
-    return s.detach(q.detach(out))
+    return q.detach(out)
 
 
 def fraud_summary(

@@ -12,12 +12,21 @@ from deliveryrisk.functions.scalar import Scalars, missing_rate, money_sum, rate
 from deliveryrisk.operators.drivers import has_missing
 
 
+def with_both(orders: DataFrame) -> DataFrame:
+    return orders.where(F.col("driver_id").isNotNull() & F.col("customer_id").isNotNull())
+
+
 def pair_interactions(orders: DataFrame) -> DataFrame:
-    """X-1: orders, items and rate of each pair."""
+    """X-1: orders, items and rate of each pair; orders without driver or customer belong to none.
+
+    Rows that stand for several orders say so in a column ``interactions``.
+    """
+    n = F.sum("interactions") if "interactions" in orders.columns else F.count(F.lit(1))
     return (
-        orders.groupBy("driver_id", "customer_id")
+        with_both(orders)
+        .groupBy("driver_id", "customer_id")
         .agg(
-            F.count(F.lit(1)).alias("interactions"),
+            n.alias("interactions"),
             F.sum("items_missing").alias("items_missing"),
             F.sum("items_delivered").alias("items_delivered"),
         )
@@ -47,7 +56,8 @@ def driver_customer_pairs(
 ) -> DataFrame:
     """X-3: view of pairs that share at least ``min_orders`` orders; filtered before names are joined."""
     grouped = (
-        orders.groupBy("driver_id", "customer_id")
+        with_both(orders)
+        .groupBy("driver_id", "customer_id")
         .agg(
             F.count(F.lit(1)).alias("shared_orders"),
             F.count(F.when(has_missing(), 1)).alias("orders_with_missing"),

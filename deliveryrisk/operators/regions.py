@@ -26,9 +26,10 @@ def all_regions() -> WindowSpec:
 
 
 def regional_performance(orders: DataFrame) -> DataFrame:
-    """G-1."""
+    """G-1; orders without a region belong to none."""
     return (
-        orders.groupBy("region")
+        orders.where(F.col("region").isNotNull())
+        .groupBy("region")
         .agg(
             F.count(F.lit(1)).alias("total_orders"),
             money_sum("order_amount").alias("total_revenue"),
@@ -85,7 +86,8 @@ def region_comparison_stats(regional: DataFrame, metric: str = "missing_rate") -
 def regional_drivers(orders: DataFrame, drivers: DataFrame) -> DataFrame:
     """G-3: driver by region."""
     return (
-        orders.groupBy("region", "driver_id")
+        orders.where(F.col("region").isNotNull() & F.col("driver_id").isNotNull())
+        .groupBy("region", "driver_id")
         .agg(
             F.count(F.lit(1)).alias("orders_in_region"),
             F.sum("items_missing").alias("items_missing"),
@@ -125,7 +127,8 @@ def regional_hotspots(regional: DataFrame, percentile: float = THRESHOLDS.geogra
 def regional_monthly(orders: DataFrame) -> DataFrame:
     """G-5: region by month of the year."""
     return (
-        orders.groupBy("region", F.month("order_date").alias("month"))
+        orders.where(F.col("region").isNotNull())
+        .groupBy("region", F.month("order_date").alias("month"))
         .agg(
             F.count(F.lit(1)).alias("orders"),
             F.sum("items_missing").alias("items_missing"),

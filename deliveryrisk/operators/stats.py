@@ -134,7 +134,10 @@ def h3_welch_t(orders: DataFrame) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, is_first) -> DataFrame:
-    """Rank sum test from counts per distinct value; ties share their mean rank."""
+    """Rank sum test from counts per distinct value; ties share their mean rank.
+
+    With two values or fewer on a side the statistic is 0 and the p-value 1.
+    """
     flagged = df.withColumn("_first", is_first)
     rc = running_sums(flagged, value, {"n": rows(), "k": F.count(F.when(F.col("_first"), 1))})
     n = F.col("n").cast("double")
@@ -150,8 +153,9 @@ def mann_whitney(df: DataFrame, value: str, is_first) -> DataFrame:
     mean = F.col("n1") * F.col("n2") / 2.0
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (total + 1 - F.col("_ties") / (total * (total - 1))))
     z = (F.greatest(u, F.col("n1") * F.col("n2") - u) - mean - 0.5) / F.nullif(sd, F.lit(0.0))
+    enough = (F.col("n1") > 2) & (F.col("n2") > 2)
     return (
-        stats.withColumns({"u": u, "z": z})
+        stats.withColumns({"u": F.when(enough, u).otherwise(0.0), "z": F.when(enough, z)})
         .withColumn("p_value", F.coalesce(normal_p(F.greatest("z", F.lit(0.0))), F.lit(1.0)))
         .drop("_r1", "_ties")
     )

@@ -71,7 +71,7 @@ fr AS (SELECT *, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium
 
 
 def indicators(t, k):
-    return I.all_indicators(t.orders, P.collusion_indicators(P.pair_interactions(t.orders)), k)
+    return I.all_indicators(t.orders, k)
 
 
 def ds(t):
@@ -163,7 +163,6 @@ def _(t):
         I.fraud_report(indicators(t, 2.0)),
         G.regional_extremes(G.regional_performance(t.orders)),
         T.temporal_summary(t.orders),
-        D.driver_risk_scores(D.driver_features(t.drivers, t.orders)),
     )
 
 

@@ -258,3 +258,27 @@ def test_failed_load_is_logged(spark, tmp_path):
         I.load_with_log({"good": good, "bad": bad}, str(tmp_path / "out"), str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
     assert sorted(values(log, "table_name", "status")) == [("bad", "FAILED"), ("good", "SUCCESS")]
+
+
+def test_orders_without_keys_belong_to_nobody(spark):
+    """Drivers at 10, 10 and 20 percent; orders without driver, customer or region at 100."""
+    from deliveryrisk.operators import indicators as N
+    from deliveryrisk.operators import pairs as P
+    from deliveryrisk.operators import regions as G
+
+    rows = [(i, "2024-01-05", 10.0, "west", 9, 1, 8, "a", "x") for i in range(5)]
+    rows += [(10 + i, "2024-01-05", 10.0, "west", 9, 1, 8, "b", "y") for i in range(5)]
+    rows += [(20 + i, "2024-02-05", 10.0, "east", 8, 2, 9, "c", "z") for i in range(5)]
+    rows += [(30 + i, "2024-02-05", 10.0, None, 0, 10, 9, None, None) for i in range(5)]
+    df = spark.createDataFrame(
+        rows,
+        "order_id long, order_date string, order_amount double, region string, items_delivered long, "
+        "items_missing long, delivery_hour int, driver_id string, customer_id string",
+    ).withColumn("order_date", F.to_date("order_date"))
+    stats = {r["driver_id"]: r["missing_rate"] for r in N.entity_stats(df, "driver_id").collect()}
+    assert stats == {"a": 10.0, "b": 10.0, "c": 20.0}
+    found = N.all_indicators(df, 1.0).collect()
+    assert {(r["entity_type"], r["entity_id"]) for r in found} == {("driver", "c"), ("customer", "z"), ("customer", "x"), ("customer", "y")}
+    assert {(r["driver_id"], r["customer_id"]) for r in P.pair_interactions(df).collect()} == {("a", "x"), ("b", "y"), ("c", "z")}
+    assert {r["region"] for r in G.regional_performance(df).collect()} == {"west", "east"}
+    assert all(r["region"] for r in G.regional_monthly(df).collect())
