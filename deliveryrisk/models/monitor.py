@@ -191,22 +191,6 @@ def retraining_triggers(drift: DataFrame, monthly: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def expanding_window_training(
-    df: DataFrame, columns: Sequence[str], id_column: str, cutoffs: Sequence[str], min_rows: int = 100, **params
-) -> DataFrame:
-    """M-16: refit on all rows up to each cutoff date; windows that are too small are left out."""
-    out = []
-    for cutoff in cutoffs:
-        part = df.where(F.col("order_date") <= F.lit(cutoff).cast("date"))
-        n = part.count()
-        if n <= min_rows:
-            continue
-        model = IsolationForest.fit(part, columns, id_column, **params)
-        rate = model.predict(part, id_column).agg(F.avg((F.col("prediction") == -1).cast("double"))).first()[0]
-        out.append((str(cutoff), float(rate) * 100.0, n))
-    return df.sparkSession.createDataFrame(out, "training_month string, anomaly_rate double, n_samples bigint")
-
-
 def champion_challenger(
     champion: IsolationForest, challenger: IsolationForest, current: DataFrame, id_column: str
 ) -> DataFrame:

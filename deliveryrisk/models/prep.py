@@ -13,14 +13,24 @@ from deliveryrisk.operators.customers import customer_features
 from deliveryrisk.operators.drivers import driver_features
 from deliveryrisk.operators.features import order_features, temporal_features
 
-# Columns the order models are trained on.
+# Columns the order models are trained on, and those that are monitored.
 ORDER_MODEL_COLUMNS = [
     "order_amount",
     "items_delivered",
     "items_missing",
+    "total_items",
+    "missing_rate",
+    "is_high_value",
+    "is_weekend",
+    "driver_age",
+    "trips",
     "driver_missing_rate",
+    "driver_total_orders",
+    "customer_age",
     "customer_missing_rate",
+    "customer_total_orders",
 ]
+MONITORED_COLUMNS = [c for c in ORDER_MODEL_COLUMNS if c not in ("is_high_value", "is_weekend")]
 
 
 def fraud_dataset(orders: DataFrame, drivers: DataFrame, customers: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 from pyspark.sql import functions as F
 
 from deliveryrisk.functions.materialize import materialize
-from deliveryrisk.functions.scalar import missing_rate
 from deliveryrisk.models import kmeans as K
 from deliveryrisk.models import monitor as M
 from deliveryrisk.models.dbscan import DBSCAN, cluster_info
 from deliveryrisk.models.iforest import IsolationForest
 from deliveryrisk.models.lof import LocalOutlierFactor
+from deliveryrisk.models.prep import MONITORED_COLUMNS as MONITORED
 from deliveryrisk.models.prep import ORDER_MODEL_COLUMNS as COLUMNS
 from deliveryrisk.models.prep import Scaler, fraud_dataset
+from deliveryrisk.models.windows import expanding_window_training
 from deliveryrisk.operators import customers as C
 from deliveryrisk.operators import drift as DR
 from deliveryrisk.operators import drivers as D
@@ -25,19 +26,7 @@ ENTITY_COLUMNS = ["missing_rate", "pct_orders_with_missing", "total_orders", "to
 
 def order_data(t):
     """One row per order with the model columns."""
-    d = D.driver_features(t.drivers, t.orders).select("driver_id", F.col("missing_rate").alias("driver_missing_rate"))
-    c = C.order_stats(t.orders, "customer_id").select(
-        "customer_id", F.col("missing_rate").alias("customer_missing_rate")
-    )
-    joined = t.orders.join(d, "driver_id", "left").join(c, "customer_id", "left")
-    return materialize(
-        joined.withColumns(
-            {
-                "missing_rate": missing_rate("items_missing", "items_delivered"),
-                "has_missing": F.col("items_missing") > 0,
-            }
-        )
-    )
+    return materialize(fraud_dataset(t.orders, t.drivers, t.customers))
 
 
 def customer_data(t):
@@ -126,14 +115,14 @@ def _(t):
 
 @query("kmeans_find_k")
 def _(t):
-    return K.find_k(customer_data(t), ENTITY_COLUMNS, range(2, 8), 1)
+    return K.find_k(customer_data(t), ENTITY_COLUMNS)
 
 
 @query("cluster_statistics")
 def _(t):
     df = driver_data(t)
     columns = ["missing_rate", "pct_orders_with_missing", "total_items_missing", "total_orders"]
-    clustered = K.FraudKMeans.fit(df, columns, 4, 3).transform(df)
+    clustered = K.FraudKMeans.fit(df, columns, 4).transform(df)
     return K.cluster_statistics(clustered, columns)
 
 
@@ -151,7 +140,7 @@ def _(t):
 def _(t):
     df = order_data(t)
     _forest, out = ensemble(df, COLUMNS, "order_id")
-    clustered = K.FraudKMeans.fit(df, COLUMNS, 5, 3).transform(df)
+    clustered = K.FraudKMeans.fit(df, COLUMNS, 5).transform(df)
     return M.score_orders(df, out, clustered)
 
 
@@ -159,7 +148,7 @@ def _(t):
 def _(t):
     df = customer_data(t)
     _forest, out = ensemble(df, ENTITY_COLUMNS, "customer_id")
-    clustered = K.FraudKMeans.fit(df, ENTITY_COLUMNS, 5, 3).transform(df).select(F.col("customer_id").alias("id"), "cluster")
+    clustered = K.FraudKMeans.fit(df, ENTITY_COLUMNS, 5).transform(df).select(F.col("customer_id").alias("id"), "cluster")
     joined = out.select("id", "isolation_forest", F.col("prediction").alias("ensemble")).join(clustered, "id")
     return M.vote(joined, ["isolation_forest", "cluster", "ensemble"])
 
@@ -168,7 +157,7 @@ def _(t):
 def _(t):
     df = customer_data(t)
     _forest, out = ensemble(df, ENTITY_COLUMNS, "customer_id")
-    clustered = K.FraudKMeans.fit(df, ENTITY_COLUMNS, 5, 3).transform(df)
+    clustered = K.FraudKMeans.fit(df, ENTITY_COLUMNS, 5).transform(df)
     return M.predict_with_details(out, clustered, "customer_id")
 
 
@@ -205,7 +194,7 @@ def _(t):
 @query("feature_importance")
 def _(t):
     rows = flags(t)
-    return M.feature_importance(rows, COLUMNS, [*METHODS, "has_missing"], K.FraudKMeans.fit(rows, COLUMNS, 5, 3))
+    return M.feature_importance(rows, COLUMNS, [*METHODS, "has_missing"], K.FraudKMeans.fit(rows, COLUMNS, 5))
 
 
 def scored_orders(t):
@@ -226,12 +215,9 @@ def _(t):
     return M.retraining_triggers(DR.drift_by_halves(t.orders), monthly)
 
 
-CUTOFFS = ["1996-12-31", "1998-12-31", "2000-12-31", "2002-12-31"]
-
-
 @query("expanding_window_training")
 def _(t):
-    return M.expanding_window_training(order_data(t), COLUMNS, "order_id", CUTOFFS, n_trees=50)
+    return expanding_window_training(order_data(t), MONITORED, "order_id")
 
 
 @query("champion_challenger")
@@ -246,14 +232,14 @@ def _(t):
 @query("model_health")
 def _(t):
     monthly = materialize(M.monthly_model_metrics(scored_orders(t)))
-    training = M.expanding_window_training(order_data(t), COLUMNS, "order_id", CUTOFFS[1:], n_trees=25)
+    training = expanding_window_training(order_data(t), MONITORED, "order_id")
     return M.model_health(monthly, DR.drift_by_halves(t.orders), training)
 
 
 @query("save_load_model", "SELECT COUNT(*) AS rows_scored, 0 AS changed_rows FROM ord")
 def _(t):
     df = order_data(t)
-    model = IsolationForest.fit(df, COLUMNS, "order_id", n_trees=20)
+    model = IsolationForest.fit(df, COLUMNS, "order_id")
     path = jobs.new_folder(t.spark)
     model.save(t.spark, path)
     again = IsolationForest.load(t.spark, path)
@@ -301,7 +287,8 @@ def _(t):
     "order_amount",
 )
 def _(t):
-    version = F.unix_micros("ts") * 1000 + F.pmod("event_id", F.lit(1000))
+    # time first, then the whole event number; a struct compares field by field
+    version = F.struct(F.unix_micros("ts").alias("at"), "event_id")
     changes = event_stream(t).select(
         F.col("user_id").alias("order_id"),
         F.col("value").alias("order_amount"),
@@ -311,6 +298,6 @@ def _(t):
         "ts",
     )
     folder = jobs.new_folder(t.spark)
-    schema = "order_id bigint, order_amount double, status string, change_id bigint, version bigint"
+    schema = "order_id bigint, order_amount double, status string, change_id bigint, version struct<at: bigint, event_id: bigint>"
     latest = jobs.LatestOrders(t.spark, f"{folder}/orders", schema)
     return latest.run(changes, f"{folder}/state").drop("version")

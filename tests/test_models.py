@@ -108,3 +108,30 @@ def test_kmeans(cloud):
     assert -1 <= model.silhouette(df) <= 1
     stats = K.cluster_statistics(out, COLUMNS, "a").collect()
     assert sum(r["share"] for r in stats) == pytest.approx(100) and sum(r["is_high_risk"] for r in stats) == 1
+
+
+def test_dbscan_keeps_text_keys(spark):
+    rows = [(f"k{i}", float(i % 2) * 10, 0.0, 0.0) for i in range(30)] + [("far", 99.0, 99.0, 99.0)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, c double")
+    got = {r["id"]: (r["role"], r["cluster"]) for r in DBSCAN(COLUMNS, 0.3, 5).fit_predict(df, "id").collect()}
+    assert got["far"] == ("noise", "-1") and got["k3"] == ("core", "k1") and got["k4"] == ("core", "k0")
+
+
+def test_forest_sees_all_ids(spark):
+    """The rows of a tree are drawn over the whole range of ids."""
+    df = spark.range(20_000).select("id", (F.col("id") * 1.0).alias("a"))
+    model = IsolationForest.fit(df, ["a"], "id", n_trees=20, scaler=Scaler(("a",), (0.0,), (0.0,), (1.0,)))
+    cuts = np.concatenate([t[1][t[0] >= 0] for t in model.trees])
+    assert 0.1 < (cuts > 16_000).mean() < 0.3
+
+
+def test_months_are_refit(spark):
+    from deliveryrisk.models.windows import expanding_window_training
+
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"id": np.arange(900), "a": rng.normal(size=900), "b": rng.normal(size=900)})
+    pdf["order_date"] = pd.to_datetime("2024-01-15") + pd.to_timedelta(30 * (pdf["id"] // 90), unit="D")
+    df = spark.createDataFrame(pdf).withColumn("order_date", F.to_date("order_date"))
+    got = expanding_window_training(df, ["a", "b"], "id", n_trees=10).orderBy("training_month").collect()
+    assert [r["n_samples"] for r in got] == [90 * k for k in range(2, 11)]
+    assert all(8.0 <= r["anomaly_rate"] <= 12.0 for r in got)
