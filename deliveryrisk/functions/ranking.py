@@ -1,9 +1,9 @@
 """Ranks, quantiles and positions that never put one group into one task.
 
 Rows are first reduced to distinct values with counts (a partial aggregation, so
-a hot value costs one row per task), and that reduced frame is written once.
-When it is large its values are cut into ranges by approximate percentiles;
-ranks are counted inside each range and moved by the total of the ranges before
+a hot value costs one row per task), and that reduced frame is written once. Its
+values are cut into ranges of about the same number of distinct values by
+approximate percentiles; ranks are counted inside each range and moved by the total of the ranges before
 it. Only the range totals, a bounded number per group, meet in one window
 partition. The cut points affect balance only, never the result.
 """
@@ -11,15 +11,16 @@ partition. The cut points affect balance only, never the result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deliveryrisk.functions.materialize import materialize
 
-RANGES = 64
-# Up to this many distinct values one window partition is enough.
-SMALL = 20_000
+# Distinct values in a range, about.
+RANGE_VALUES = 10_000
 
 
 def range_number(value: str, bounds: Sequence) -> Column:
@@ -34,11 +35,13 @@ def range_number(value: str, bounds: Sequence) -> Column:
     return tree(0, len(bounds))
 
 
-def range_bounds(sums: DataFrame, value: str, ranges: int) -> list:
-    """Cut points of the distinct values; none when they are few."""
+def range_bounds(sums: DataFrame, value: str, range_values: int) -> list:
+    """Cut points of the distinct values, one for about ``range_values`` of them."""
+    ranges = -(-sums.count() // range_values)
+    if ranges < 2:
+        return []
     cuts = [i / ranges for i in range(1, ranges)]
-    row = sums.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(value, cuts, 100 * ranges).alias("b")).first()
-    return sorted(set(row["b"])) if row["n"] > SMALL else []
+    return sorted(set(sums.agg(F.percentile_approx(value, cuts, 100 * ranges).alias("b")).first()["b"]))
 
 
 def running_sums(
@@ -48,7 +51,7 @@ def running_sums(
     by: Sequence[str] = (),
     lead: Sequence[str] = (),
     tail: Sequence[str] = (),
-    ranges: int = RANGES,
+    range_values: int | None = None,
 ) -> DataFrame:
     """Sums per distinct value with, for each measure m, ``m_below`` (sum of smaller values) and ``m_total``.
 
@@ -60,31 +63,29 @@ def running_sums(
     keys = [*by, *lead, value, *tail]
     rows = df.where(F.col(value).isNotNull())
     sums = materialize(rows.groupBy(*keys).agg(*[c.alias(m) for m, c in measures.items()]))
-    bounds = range_bounds(sums, value, ranges)
-    block = [*by, *lead, "_range"] if bounds else list(by)
-    ranged = sums.withColumn("_range", range_number(value, bounds)) if bounds else sums
-    inside = Window.partitionBy(*block).orderBy(*([] if bounds else lead), value, *tail)
+    bounds = range_bounds(sums, value, range_values or RANGE_VALUES)
+    block = [*by, *lead, "_range"]
+    ranged = sums.withColumn("_range", range_number(value, bounds))
+    inside = Window.partitionBy(*block).orderBy(value, *tail)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns(
         {f"{m}_below": F.sum(m).over(upto) - F.col(m) for m in measures} | {"dense": F.row_number().over(inside)}
     )
     group = Window.partitionBy(*by)
-    if not bounds:
-        return local.withColumns(
-            {f"{m}_total": F.sum(m).over(group) for m in measures} | {"distinct": F.count(F.lit(1)).over(group)}
-        )
     blocks = ranged.groupBy(*block).agg(
         *[F.sum(m).alias(f"_{m}_block") for m in measures], F.count(F.lit(1)).alias("_values")
     )
     earlier = group.orderBy(*lead, "_range").rowsBetween(Window.unboundedPreceding, -1)
+    # null keys form a group like any other
     offsets = blocks.select(
-        *block,
+        *[F.col(c).alias(f"{c}_of") for c in block],
         *[F.coalesce(F.sum(f"_{m}_block").over(earlier), F.lit(0)).alias(f"_{m}_offset") for m in measures],
         *[F.sum(f"_{m}_block").over(group).alias(f"{m}_total") for m in measures],
         F.coalesce(F.sum("_values").over(earlier), F.lit(0)).alias("_value_offset"),
         F.sum("_values").over(group).alias("distinct"),
     )
-    return local.join(offsets, block).select(
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in block])
+    return local.join(offsets, same).select(
         *keys,
         *measures,
         *[(F.col(f"{m}_below") + F.col(f"_{m}_offset")).alias(f"{m}_below") for m in measures],

@@ -21,9 +21,9 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_ranks_and_quantiles(skewed, monkeypatch, small):
-    monkeypatch.setattr(R, "SMALL", small)
+@pytest.mark.parametrize("values", [50, 10**9])
+def test_ranks_and_quantiles(skewed, monkeypatch, values):
+    monkeypatch.setattr(R, "RANGE_VALUES", values)
     pdf, df = skewed
     got = R.with_ranks(df, "v", ["g"]).toPandas().drop_duplicates(["g", "v"]).set_index(["g", "v"]).sort_index()
     want = pdf.assign(
@@ -40,9 +40,9 @@ def test_ranks_and_quantiles(skewed, monkeypatch, small):
     assert np.allclose(by, pdf.groupby("g")["v"].median().sort_index())
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_positions_of_a_hot_group(skewed, monkeypatch, small):
-    monkeypatch.setattr(R, "SMALL", small)
+@pytest.mark.parametrize("values", [50, 10**9])
+def test_positions_of_a_hot_group(skewed, monkeypatch, values):
+    monkeypatch.setattr(R, "RANGE_VALUES", values)
     pdf, df = skewed
     got = R.ordered_positions(df, ["g"], "v", ["t"], [], "pos").toPandas()
     assert len(got) == len(pdf)
