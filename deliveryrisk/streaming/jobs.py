@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deliveryrisk.functions.materialize import ensure_checkpoint_dir
-from deliveryrisk.sources.ingest import upsert_orders
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -60,32 +59,52 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     ).trigger(availableNow=True).start().awaitTermination()
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """The row with the largest version of each order; versions of any comparable type."""
+    kept = rows.groupBy("order_id").agg(F.max_by(F.struct(*rows.columns), "version").alias("r"))
+    return kept.select(*[F.col(f"r.{c}").alias(c) for c in rows.columns])
+
+
 class LatestOrders:
     """SS-2: keep the latest version of each order.
 
-    Every micro batch writes a new snapshot named after the batch, so a
-    repeated batch overwrites its own snapshot and nothing else.
+    Every micro batch writes its own latest rows to a folder named after the
+    batch, so a repeated batch overwrites itself and a batch costs its own
+    size. ``table`` merges the folders; ``compact`` writes the merged rows as a
+    new base, after which older folders are not read. A batch that is missing
+    between the others is an error.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
-        self.current: int | None = None
-
-    def snapshot(self, number: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot={number}")
 
     def write(self, batch: DataFrame, number: int) -> None:
-        previous = number - 1
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshot={previous}/_SUCCESS")
-        known = previous >= 0 and p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        base = self.snapshot(previous) if known else batch.limit(0)
-        stacked = base.unionByName(batch)
-        merged = upsert_orders(stacked.limit(0), stacked, "update", "version")
-        merged.write.mode("overwrite").parquet(f"{self.path}/snapshot={number}")
-        self.current = number
+        newest(batch).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def finished(self, kind: str) -> list[int]:
+        """Numbers of the completely written folders of a kind."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/_SUCCESS")
+        system = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in system.globStatus(pattern) or [])
+
+    def table(self) -> DataFrame:
+        base = max(self.finished("base"), default=-1)
+        batches = [n for n in self.finished("batch") if n > base]
+        if base < 0 and not batches:
+            raise ValueError("the stream held no batch")
+        if batches != list(range(base + 1, base + 1 + len(batches))):
+            raise ValueError(f"batches are missing below {self.path}: found {batches} after base {base}")
+        folders = [f"{self.path}/batch={n}" for n in batches] + [f"{self.path}/base={base}"] * (base >= 0)
+        return newest(self.spark.read.schema(self.schema).parquet(*folders))
+
+    def compact(self) -> None:
+        """Fold all finished batches into a new base."""
+        last = max(self.finished("batch"), default=-1)
+        if last > max(self.finished("base"), default=-1):
+            self.table().write.mode("overwrite").parquet(f"{self.path}/base={last}")
 
     def run(self, changes: DataFrame, checkpoint: str, late: str = "2 hours") -> DataFrame:
-        """Drain the stream and return the latest snapshot; repeated change ids are dropped."""
+        """Drain the stream and return the latest versions; repeated change ids are dropped."""
         query = (
             changes.withWatermark("ts", late)
             .dropDuplicatesWithinWatermark(["change_id"])
@@ -96,6 +115,4 @@ class LatestOrders:
             .start()
         )
         query.awaitTermination()
-        if self.current is None:
-            raise ValueError("the stream held no batch")
-        return self.snapshot(self.current)
+        return self.table()

@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import pytest
+
 from deliveryrisk.streaming import jobs
 
 SCHEMA = "event_id bigint, ts timestamp, event_type string"
@@ -47,3 +49,19 @@ def test_latest_version_wins(spark, tmp_path):
     got = {r["order_id"]: r["order_amount"] for r in latest.run(changes, str(tmp_path / "state")).collect()}
     # Version 2 of order 1 is older than the stored version 3; change 3 came before.
     assert got == {1: 3.0, 2: 6.0}
+    again = jobs.LatestOrders(spark, latest.path, latest.schema)
+    assert {r["order_id"]: r["order_amount"] for r in again.run(changes, str(tmp_path / "state")).collect()} == got
+    again.compact()
+    write(spark, [(3, 7.0, 6, 1, at(3))], folder, schema)
+    assert {r["order_id"]: r["order_amount"] for r in again.run(changes, str(tmp_path / "state")).collect()} == got | {3: 7.0}
+
+
+def test_a_lost_batch_is_an_error(spark, tmp_path):
+    schema = "order_id bigint, order_amount double, version bigint"
+    latest = jobs.LatestOrders(spark, str(tmp_path), schema)
+    for number in (0, 2):
+        latest.write(spark.createDataFrame([(number, 1.0, 1)], schema), number)
+    with pytest.raises(ValueError, match="missing"):
+        latest.table()
+    with pytest.raises(ValueError, match="no batch"):
+        jobs.LatestOrders(spark, str(tmp_path / "none"), schema).table()
