@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass, field
-
-
-def _env(name: str, default: float) -> float:
-    return float(os.environ.get(name, default))
+from dataclasses import dataclass
 
 
+# Risk and anomaly limits. Operators take others as parameters.
 @dataclass(frozen=True)
 class Thresholds:
-    """Risk and anomaly limits; every default may be set from the environment."""
-
-    critical: float = field(default_factory=lambda: _env("RISK_CRITICAL_THRESHOLD", 75.0))
-    high: float = field(default_factory=lambda: _env("RISK_HIGH_THRESHOLD", 50.0))
-    medium: float = field(default_factory=lambda: _env("RISK_MEDIUM_THRESHOLD", 25.0))
+    critical: float = 75.0
+    high: float = 50.0
+    medium: float = 25.0
     low: float = 0.0
-    alert: float = field(default_factory=lambda: _env("RISK_ALERT_THRESHOLD", 70.0))
-    driver_rate: float = field(default_factory=lambda: _env("MISSING_RATE_DRIVER_THRESHOLD", 20.0))
-    order_rate: float = field(default_factory=lambda: _env("MISSING_RATE_ORDER_THRESHOLD", 50.0))
-    fraud_rate: float = field(default_factory=lambda: _env("MISSING_RATE_FRAUD_THRESHOLD", 50.0))
-    geographic_rank: float = field(default_factory=lambda: _env("GEOGRAPHIC_RANK_THRESHOLD", 75.0))
-    anomaly_std: float = field(default_factory=lambda: _env("ANOMALY_STD_THRESHOLD", 2.0))
+    alert: float = 70.0
+    driver_rate: float = 20.0
+    order_rate: float = 50.0
+    fraud_rate: float = 50.0
+    geographic_rank: float = 75.0
+    anomaly_std: float = 2.0
 
 
 THRESHOLDS = Thresholds()

@@ -5,7 +5,9 @@ cleaned result can be checked against the tables themselves.
 """
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deliveryrisk.functions.materialize import ensure_checkpoint_dir
@@ -90,6 +92,48 @@ def _(t):
     return I.read_raw(t.spark, path, "drivers")
 
 
+def raw_missing_items(t):
+    return I.pivot_missing_items(t.positioned_items)
+
+
+RAW_TABLES = {
+    "orders": raw_orders,
+    "customers": raw_customers,
+    "drivers": raw_drivers,
+    "products": raw_products,
+    "missing_items": raw_missing_items,
+}
+
+
+@query(
+    "read_raw_all",
+    """SELECT 'orders' AS table_name, COUNT(*) AS row_count, COUNT(*) * 9 AS filled_cells FROM ord
+UNION ALL SELECT 'customers', COUNT(*), COUNT(*) * 3 - COUNT(CASE WHEN customer_id % 13 = 0 THEN 1 END) FROM cus
+UNION ALL SELECT 'drivers', COUNT(*), COUNT(*) * 4 FROM drv
+UNION ALL SELECT 'products', COUNT(*), COUNT(*) * 4 FROM prd
+UNION ALL SELECT 'missing_items', COUNT(*), CAST(SUM(1 + LEAST(n, 3)) AS BIGINT)
+  FROM (SELECT order_id, COUNT(*) AS n FROM mis GROUP BY order_id)""",
+)
+def _(t):
+    folder, parts = scratch(t), []
+    for name, build in RAW_TABLES.items():
+        raw = build(t)
+        raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c.strip().lower()) for c in raw.columns])
+        raw.select(*I.RAW_COLUMNS[name]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False
+        ).csv(f"{folder}/{name}")
+        back = I.read_raw(t.spark, f"{folder}/{name}", name)
+        filled = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in back.columns), F.lit(0))
+        parts.append(
+            back.agg(
+                F.lit(name).alias("table_name"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.coalesce(F.sum(filled), F.lit(0)).alias("filled_cells"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "parse_currency",
     """SELECT order_id, CASE WHEN order_id % 97 = 0 OR order_id % 101 = 0 THEN NULL ELSE order_amount END AS amount FROM ord""",
@@ -244,17 +288,34 @@ for _mode, _amount in (
 @query(
     "load_all",
     """SELECT 'drivers' AS table_name, COUNT(*) AS row_count FROM drv UNION ALL SELECT 'customers', COUNT(*) FROM cus
-UNION ALL SELECT 'products', COUNT(*) FROM prd UNION ALL SELECT 'orders', COUNT(*) FROM ord""",
+UNION ALL SELECT 'products', COUNT(*) FROM prd UNION ALL SELECT 'orders', COUNT(*) FROM ord
+UNION ALL SELECT 'regions', COUNT(*) FROM reg UNION ALL SELECT 'missing_items', COUNT(*) FROM mis""",
 )
 def _(t):
-    tables = {"orders": t.orders, "drivers": t.drivers, "customers": t.customers, "products": t.products}
-    return I.load_all(tables, scratch(t))
+    return I.load_all(all_tables(t), scratch(t))
+
+
+def all_tables(t):
+    return {
+        "missing_items": t.missing_items,
+        "orders": t.orders,
+        "products": t.products,
+        "customers": t.customers,
+        "drivers": t.drivers,
+        "regions": t.regions,
+    }
 
 
-@query("load_log")
+@query(
+    "load_log",
+    """SELECT 'drivers' AS table_name, COUNT(*) AS row_count, 'SUCCESS' AS status FROM drv
+UNION ALL SELECT 'customers', COUNT(*), 'SUCCESS' FROM cus UNION ALL SELECT 'products', COUNT(*), 'SUCCESS' FROM prd
+UNION ALL SELECT 'orders', COUNT(*), 'SUCCESS' FROM ord UNION ALL SELECT 'regions', COUNT(*), 'SUCCESS' FROM reg
+UNION ALL SELECT 'missing_items', COUNT(*), 'SUCCESS' FROM mis""",
+)
 def _(t):
     path = scratch(t)
-    I.load_with_log({"drivers": t.drivers, "products": t.products}, f"{path}/data", f"{path}/log")
+    I.load_with_log(all_tables(t), f"{path}/data", f"{path}/log")
     return t.spark.read.schema(I.LOG_SCHEMA).parquet(f"{path}/log").select("table_name", "row_count", "status")
 
 

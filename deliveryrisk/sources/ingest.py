@@ -125,8 +125,8 @@ def unpivot_missing_items(wide: DataFrame) -> DataFrame:
 def pivot_missing_items(long: DataFrame, order_column: str = "item_position") -> DataFrame:
     """I-9: the first three items of an order as columns.
 
-    The three smallest (position, product) pairs are kept while aggregating, so
-    a hot order never gathers its items in one task.
+    Spark applies the rank limit below the shuffle too, so each task sends at
+    most three items of an order.
     """
     from pyspark.sql import Window
 
@@ -228,7 +228,7 @@ def load_with_log(tables: Mapping[str, DataFrame], out: str, log_path: str) -> N
         try:
             count = load_all({name: df}, out).first()["row_count"]
         except Exception as error:
-            load_log(df.sparkSession, log_path, [(name, started, datetime.now(), None, "FAILED", str(error)[:500])])
+            load_log(df.sparkSession, log_path, [(name, started, datetime.now(), None, "FAILED", str(error))])
             raise
         load_log(df.sparkSession, log_path, [(name, started, datetime.now(), count, "SUCCESS", None)])
 
