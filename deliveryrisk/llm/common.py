@@ -16,6 +16,8 @@ from deliveryrisk.functions.materialize import ensure_checkpoint_dir
 # The white space of the contracts: space, tab, line feed, vertical tab, form feed, return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet below the shared checkpoint folder and read it back.
 
-    Cuts lineage: a lost executor never repeats the work before it. The row
-    count stays what it was; files are compressed and pruned by column.
+    Cuts lineage: a lost executor never repeats the work before it. While it is
+    written, batches sent to Python tasks hold at most ``BATCH_BYTES``, so pairs
+    of long texts do not fill an executor's memory.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,17 +63,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Cut a batch of texts into row ranges of about ``most`` bytes; a longer text stands alone."""
     start, size = 0, 0
-    lengths = texts.to_pylist() if not isinstance(texts, pa.Array) else byte_lengths(texts)
-    for i, n in enumerate(lengths):
+    for i, n in enumerate(byte_lengths(texts).tolist()):
         if size and size + n > most:
             yield start, i
             start, size = i, 0
-        size += int(n)
-    if start < len(lengths):
-        yield start, len(lengths)
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def sliced_texts(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The row ranges of ``text_slices`` with their texts as UTF-8 bytes; null counts as empty."""
+    for lo, hi in text_slices(texts):
+        part = texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()
+        yield lo, hi, [b"" if t is None else t for t in part]
 
 
 def byte_lengths(texts: pa.Array) -> np.ndarray:
@@ -74,12 +88,6 @@ def byte_lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
 
-def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """The texts of a batch as UTF-8 bytes; null counts as empty."""
-    column = batch.column(batch.schema.get_field_index(name))
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that all bits depend on all bits."""
     h = h ^ (h >> np.uint64(32))

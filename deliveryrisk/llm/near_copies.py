@@ -9,18 +9,19 @@ pruned. Surviving pairs are verified on whole texts.
 Distribution. In one tree over all points, counts concentrate and high nodes
 prune nothing. Points are therefore first dealt to cells: shingles are also
 hashed to more groups than linked sets can differ in, so linked sets agree
-fully in at least ``spare`` groups. A cell is one group with its content. Each
-set leaves out its ``spare - 1`` cells with the fewest shingles (a cell of none
-or one says little); as both sets rank a common cell alike, linked sets still
-share a cell. No link is lost.
-
-Large groups of copies. Copies inside a task are folded at once. First every
-set is compared with the smallest set of each of its cells (its hub), and
-components are formed; a group of near copies collapses without listing its
-pairs. Then only cells that still hold several components are searched: the
-sets outside the cell's largest component against all of it, in blocks of at
-most ``BLOCK`` points, each an R-tree. Sets already known to be connected are
-not compared.
+fully in more than ``spare`` groups. A cell is one group with its content. Each
+set leaves out half of ``spare`` cells with the fewest shingles (a cell of none
+or one says little), and then as many of the cells that most sets have. As all
+sets rank a common cell alike, linked sets still share a cell, and a set that
+shares few cells has none left. No link is lost.
+
+Large groups of copies. Copies inside a task are folded at once. The smallest
+set of a cell is its hub. First every set is compared with the smallest of its
+hubs, then with the hubs of its cells that lie in other components; a group of
+near copies collapses without listing its pairs. Then only cells that still
+hold several components are searched: the sets outside the cell's largest
+component against all of it, in blocks of at most ``BLOCK`` points, each an
+R-tree. Sets already known to be connected are not compared.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deliveryrisk.llm.common import find_words, free_name, mix, stored, table, text_slices, texts_of
+from deliveryrisk.llm.common import find_words, free_name, mix, sliced_texts, stored, table
 from deliveryrisk.llm.exact_dedup import bit_blocks, filter_bits, in_blocks
 from deliveryrisk.llm.graph import components
 
@@ -80,10 +81,10 @@ def classes(percent: int, upto: int) -> np.ndarray:
 
 
 def cell_groups(most: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of groups and of spare groups for sets of at most ``most`` shingles."""
+    """Number of groups for sets of at most ``most`` shingles, and half of those that linked sets can spare."""
     differ = 2 * most * (100 - percent) // (100 + percent)
     groups = np.ceil((differ + 1) / (1 - SPARE_SHARE)).astype(np.int64)
-    return groups, groups - differ
+    return groups, (groups - differ - 1) // 2
 
 
 def sums_by(place: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
@@ -120,13 +121,15 @@ def cells_of(sets: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndar
         count = np.bincount(place, minlength=total)
         owner = np.repeat(np.arange(takes.size), groups)
         number = np.arange(total) - np.repeat(offset, groups)
-        # the spare - 1 cells with the fewest shingles go; ties by group number
+        # cells with the fewest shingles go; ties by group number
         order = np.lexsort((number, count, owner))
         rank = np.empty(total, dtype=np.int64)
         rank[order] = number
-        stay = rank >= spare[owner] - 1
+        stay = rank >= spare[owner]
         salt = mix((level[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64))
-        keys.append(mix(content + salt + count.astype(np.uint64))[stay])
+        key = mix(content + salt + count.astype(np.uint64))[stay]
+        # the last bit tells apart the two classes whose cells a set can have
+        keys.append(key & ~np.uint64(1) | (level[owner[stay]] & 1).astype(np.uint64))
         owners.append(takes[owner[stay]])
     if not keys:
         return np.empty(0, np.uint64), np.zeros(sizes.size, np.int64)
@@ -135,6 +138,15 @@ def cells_of(sets: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndar
     return key[order], np.bincount(owner, minlength=sizes.size)
 
 
+def spare_cells(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of its most common cells that each set can leave out, in its even and its odd class."""
+    bounds = classes(percent, int(sizes.max(initial=1)) * 2)
+    own = np.maximum(np.searchsorted(bounds, sizes, side="right") - 1, 0)
+    spare = [cell_groups(bounds[own + up + 1] - 1, percent)[1] for up in (0, 1)]
+    odd = own % 2 == 1
+    return np.where(odd, spare[1], spare[0]), np.where(odd, spare[0], spare[1])
+
+
 def prints_of(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit fingerprints of sets."""
     owner = np.repeat(np.arange(sizes.size), sizes)
@@ -152,9 +164,10 @@ def describe(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            texts, ids = texts_of(batch, "text"), batch.column("row_").to_pylist()
-            for lo, hi in text_slices(batch.column("text")):
-                sets, sizes = shingle_sets(texts[lo:hi], width)
+            ids = batch.column("row_").to_pylist()
+            for lo, hi, texts in sliced_texts(batch.column("text")):
+                sets, sizes = shingle_sets(texts, width)
+                even, odd = spare_cells(sizes, percent)
                 one, two = prints_of(sets, sizes)
                 first = []
                 for r, a, b, n in zip(ids[lo:hi], one.tolist(), two.tolist(), sizes.tolist(), strict=True):
@@ -175,6 +188,8 @@ def describe(width: int, percent: int):
                         "one": pa.array(one),
                         "two": pa.array(two),
                         "first_": pa.array(first, pa.int64()),
+                        "even": pa.array(even),
+                        "odd": pa.array(odd),
                         "point": pa.array([p.tobytes() if f else None for p, f in zip(point, fresh, strict=True)], pa.binary()),
                         "cells": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
                     }
@@ -202,9 +217,9 @@ class Tree:
         for depth in range(len(self.levels) - 1, -1, -1):
             most, least = self.levels[depth]
             keep = []
-            for part in np.array_split(np.arange(query.size), query.size // 65536 + 1):
+            for part in np.array_split(np.arange(query.size), query.size // 16384 + 1):
                 q, t = query[part], node[part]
-                bound = np.minimum(points[q], most[t]).sum(axis=1)
+                bound = np.minimum(points[q], most[t]).sum(axis=1, dtype=np.int64)
                 keep.append(bound >= needed(sizes[q] + least[t], percent))
             keep = np.concatenate(keep)
             query, node = query[keep], node[keep]
@@ -241,7 +256,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
 
 
 def points_in(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, DIMENSIONS).astype(np.int64)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, DIMENSIONS).astype(np.int32)
 
 
 def search_blocks(percent: int):
@@ -284,10 +299,11 @@ def linked(width: int, percent: int):
 
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for a, b in zip(left.cast(pa.binary()).to_pylist(), right.cast(pa.binary()).to_pylist(), strict=True):
-            (x, nx), (y, ny) = shingle_sets([a], width), shingle_sets([b], width)
-            both = np.intersect1d(x, y, assume_unique=True).size
-            out.append(bool(100 * both >= percent * (nx[0] + ny[0] - both)))
+        for lo, hi, texts in sliced_texts(left):
+            for a, b in zip(texts, right.slice(lo, hi - lo), strict=True):
+                (x, nx), (y, ny) = shingle_sets([a], width), shingle_sets([b.as_py().encode()], width)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                out.append(bool(100 * both >= percent * (nx[0] + ny[0] - both)))
         return pa.array(out, pa.bool_())
 
     return F.arrow_udf(run, "boolean")
@@ -295,10 +311,9 @@ def linked(width: int, percent: int):
 
 def prints_udf(width: int):
     def run(texts: pa.Array) -> pa.Array:
-        values = texts_of(pa.RecordBatch.from_arrays([texts], ["t"]), "t")
         ones, twos = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for lo, hi in text_slices(texts):
-            one, two = prints_of(*shingle_sets(values[lo:hi], width))
+        for _, _, values in sliced_texts(texts):
+            one, two = prints_of(*shingle_sets(values, width))
             ones.append(one)
             twos.append(two)
         return pa.StructArray.from_arrays([pa.array(np.concatenate(ones)), pa.array(np.concatenate(twos))], ["one", "two"])
@@ -306,27 +321,29 @@ def prints_udf(width: int):
     return F.arrow_udf(run, "one long, two long")
 
 
-def verify(pairs: DataFrame, described: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole texts link.
+def texts_of_rows(rows: DataFrame, described: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Stored texts (row_, text) of the listed rows.
 
-    Only texts whose id may be in a pair are read into the shuffle: a filter of
-    bits over the wanted ids, at most 32 MB, keeps the others out. Texts are
-    found by their set's fingerprint, one text for each fingerprint.
+    Only texts whose id may belong to a listed row are read into the shuffle: a
+    filter of bits over these ids, at most 32 MB, keeps the others out. Texts
+    are found by their set's fingerprint, one text for each fingerprint.
     """
-    pairs = stored(pairs)
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("row_")).distinct()
-    wanted = stored(described.select("row_", "doc_id", "one", "two").join(sides, "row_"))
+    wanted = stored(described.select("row_", "doc_id", "one", "two").join(rows, "row_"))
     bits = filter_bits(wanted.count())
-    blocks = bit_blocks(wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot")), bits)
-    passed = texts.where(in_blocks(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), blocks))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    passed = texts.where(in_blocks(slot, bit_blocks(wanted.select(slot.alias("slot")), bits)))
     found = passed.select("text", prints_udf(width)("text").alias("p")).select("text", "p.one", "p.two")
-    needed_prints = wanted.select("one", "two").distinct()
-    found = found.join(needed_prints, ["one", "two"]).groupBy("one", "two").agg(F.any_value("text").alias("text"))
-    by_row = wanted.drop("doc_id").join(found, ["one", "two"]).select("row_", "text")
-    by_row = stored(by_row)
-    a = by_row.withColumnsRenamed({"row_": "a", "text": "text_a"})
-    b = by_row.withColumnsRenamed({"row_": "b", "text": "text_b"})
-    return pairs.join(b, "b").join(a, "a").where(linked(width, percent)("text_a", "text_b")).select("a", "b")
+    prints = wanted.select("one", "two").distinct()
+    found = found.join(prints, ["one", "two"]).groupBy("one", "two").agg(F.any_value("text").alias("text"))
+    return stored(wanted.drop("doc_id").join(found, ["one", "two"]).select("row_", "text"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole texts link; ``texts`` has row_ and text."""
+    a = texts.withColumnsRenamed({"row_": "a", "text": "text_a"})
+    b = texts.withColumnsRenamed({"row_": "b", "text": "text_b"})
+    both = stored(pairs).join(b, "b").join(a, "a")
+    return stored(both.where(linked(width, percent)("text_a", "text_b")).select("a", "b"))
 
 
 def bounded(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
@@ -345,18 +362,32 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         docs.mapInArrow(
             describe(width, percent),
             f"row_ long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, one long, two long, "
-            "first_ long, point binary, cells array<long>",
+            "first_ long, even long, odd long, point binary, cells array<long>",
         )
     )
-    texts = docs.select("doc_id", "text")
     placed = described.where("size(cells) > 0").select("row_", F.explode("cells").alias("cell"))
-    # cells of one set hold no pair; the hub of the others is their smallest row
-    shared = placed.groupBy("cell").agg(F.min("row_").alias("hub"), F.max("row_").alias("top")).where("hub <> top").drop("top")
-    members = stored(placed.join(shared, "cell"))
-    stars = members.where("row_ <> hub").select(F.col("row_").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stored(verify(bounded(stars, described, percent), described, texts, width, percent))
-    labels = components(links)
-    node = labels.withColumnsRenamed({"node": "row_", "component": "label"})
+    heat = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("heat")).where("heat > 1")
+    spare = described.where("size(cells) > 0").select("row_", "even", "odd")
+    odd = F.col("cell").bitwiseAND(1) == 1
+    by_heat = Window.partitionBy("row_", odd).orderBy(F.desc("heat"), "cell")  # the cells of one set
+    ranked = placed.join(heat, "cell").join(spare, "row_").withColumn("rank", F.row_number().over(by_heat))
+    kept = stored(ranked.where(F.col("rank") > F.when(odd, F.col("odd")).otherwise(F.col("even"))).select("cell", "row_"))
+    hubs = kept.groupBy("cell").agg(F.min("row_").alias("hub"), F.max("row_").alias("top")).where("hub <> top")
+    members = stored(kept.join(hubs.drop("top"), "cell"))
+    texts = texts_of_rows(members.select("row_").distinct(), described, docs.select("doc_id", "text"), width)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verify(bounded(pairs, described, percent), texts, width, percent)
+
+    first = members.groupBy(F.col("row_").alias("a")).agg(F.min("hub").alias("b")).where("a <> b")
+    links = check(first)
+    label = components(links)
+    own = label.withColumnsRenamed({"node": "row_", "component": "own"})
+    other = label.withColumnsRenamed({"node": "hub", "component": "other"})
+    apart = F.coalesce("own", "row_") != F.coalesce("other", "hub")
+    stars = members.join(own, "row_", "left").join(other, "hub", "left").where(apart)
+    links = stored(links.unionByName(check(stars.select(F.col("row_").alias("a"), F.col("hub").alias("b")).distinct())))
+    node = components(links).withColumnsRenamed({"node": "row_", "component": "label"})
     labelled = stored(
         members.join(node, "row_", "left").select("cell", "row_", F.coalesce("label", "row_").alias("label"))
     )
@@ -388,7 +419,7 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     pairs = dealt.select("cell", "qb", "bb", "side", "row_", "label", "n", "point").mapInArrow(
         search_blocks(percent), "a long, b long"
     )
-    more = verify(pairs.distinct(), described, texts, width, percent)
+    more = verify(pairs.distinct(), texts, width, percent)
     found = components(links.unionByName(more))
     ends = found.withColumnsRenamed({"node": "first_", "component": "end"})
     return described.select("row_", "doc_id", "n", "first_").join(ends, "first_", "left").select(

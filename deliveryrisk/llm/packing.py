@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliveryrisk.llm.common import mix, table, text_slices, texts_of
+from deliveryrisk.llm.common import mix, sliced_texts, table, text_slices
 
 LENGTH = 1024
 SEPARATOR = 0
@@ -103,8 +103,7 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
 
 
 def keyed(texts: pa.Array) -> pa.Array:
-    values = texts_of(pa.RecordBatch.from_arrays([texts], ["t"]), "t")
-    parts = [curve_keys(values[lo:hi]) for lo, hi in text_slices(texts)]
+    parts = [curve_keys(values) for _, _, values in sliced_texts(texts)]
     return pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
 
 

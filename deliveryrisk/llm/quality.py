@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliveryrisk.llm.common import crc_mod, find_words, mix, table, text_slices, texts_of
+from deliveryrisk.llm.common import crc_mod, find_words, mix, sliced_texts, table
 
 SAMPLE = 6000
 MOST_LINES = 500
@@ -213,12 +213,13 @@ def score_some(texts: list[bytes], model: tuple) -> np.ndarray:
 def sample_features(batches):
     """Line features of the sampled texts, packed as bytes."""
     for batch in batches:
-        texts, labels = texts_of(batch, "text"), batch.column("quality").to_pylist()
-        for text, label in zip(texts, labels, strict=True):
-            if text.count(b"\n") < MOST_LINES:
-                x, size, _ = line_features([text])
-                packed = np.hstack([x, size[:, None]]).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_pydict({"quality": pa.array([label], pa.int32()), "x": pa.array([packed], pa.binary())})
+        labels = batch.column("quality").to_pylist()
+        for lo, _, texts in sliced_texts(batch.column("text")):
+            for i, text in enumerate(texts, lo):
+                if text.count(b"\n") < MOST_LINES:
+                    x, size, _ = line_features([text])
+                    packed = pa.array([np.hstack([x, size[:, None]]).astype("<f4").tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_pydict({"quality": pa.array([labels[i]], pa.int32()), "x": packed})
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 0) -> tuple | None:
@@ -256,8 +257,7 @@ def with_quality(docs: DataFrame, model: tuple | None, text: str = "text", out:
         return docs.withColumn(out, F.lit(0.5))
 
     def run(texts: pa.Array) -> pa.Array:
-        values = texts_of(pa.RecordBatch.from_arrays([texts], ["t"]), "t")
-        parts = [score_some(values[lo:hi], model) for lo, hi in text_slices(texts)]
+        parts = [score_some(values, model) for _, _, values in sliced_texts(texts)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
     return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(text)))

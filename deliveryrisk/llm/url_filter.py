@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deliveryrisk.llm.common import ascii_lower, free_name, mix, text_slices, texts_of
+from deliveryrisk.llm.common import ascii_lower, free_name, mix, sliced_texts
 
 
 @dataclass(frozen=True)
@@ -111,10 +111,9 @@ def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 2, SLOTS), dtype=np.int64)
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False)
-        texts = texts_of(batch, "address")
-        for lo, hi in text_slices(batch.column("address")):
+        for lo, hi, texts in sliced_texts(batch.column("address")):
             for side in (0, 1):
-                own = [t for t, s in zip(texts[lo:hi], label[lo:hi], strict=True) if s == side]
+                own = [t for t, s in zip(texts, label[lo:hi], strict=True) if s == side]
                 if own:
                     pairs, contexts, _ = context_slots(own)
                     for k in range(ORDERS + 1):
@@ -138,10 +137,7 @@ def differences(df: DataFrame, model, address: str, out: str) -> DataFrame:
     """Add the length-normalised log-likelihood difference of an address column."""
 
     def run(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], ["t"])
-        values, found = texts_of(batch, "t"), []
-        for lo, hi in text_slices(texts):
-            found.append(log_likelihoods(values[lo:hi], model.value))
+        found = [log_likelihoods(values, model.value) for _, _, values in sliced_texts(texts)]
         return pa.array(np.concatenate(found) if found else np.empty(0), pa.float64())
 
     score = F.arrow_udf(run, "double")
