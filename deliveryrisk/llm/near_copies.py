@@ -17,8 +17,8 @@ shares few cells has none left. No link is lost.
 
 Large groups of copies. Copies inside a task are folded at once. The smallest
 set of a cell is its hub. First every set is compared with the smallest of its
-hubs, then with the hubs of its cells that lie in other components; a group of
-near copies collapses without listing its pairs. Then only cells that still
+hubs, then with the smallest that lies in another component; a group of near
+copies collapses without listing its pairs. Then only cells that still
 hold several components are searched: the sets outside the cell's largest
 component against all of it, in blocks of at most ``BLOCK`` points, each an
 R-tree. Sets already known to be connected are not compared.
@@ -37,7 +37,8 @@ from deliveryrisk.llm.common import find_words, free_name, mix, sliced_texts, st
 from deliveryrisk.llm.exact_dedup import bit_blocks, filter_bits, in_blocks
 from deliveryrisk.llm.graph import components
 
-DIMENSIONS = 64
+DIMENSIONS = 256
+MOST_COUNT = 65535
 GROWTH = 1.5
 SPARE_SHARE = 0.15
 BLOCK = 512
@@ -177,8 +178,11 @@ def describe(width: int, percent: int):
                 some = np.where(fresh, sizes, 0)
                 keys, n_keys = cells_of(sets[kept], some, percent)
                 owner = np.repeat(np.arange(hi - lo), sizes)
-                place = owner * DIMENSIONS + (sets >> np.uint64(58)).astype(np.int64)
-                point = np.bincount(place, minlength=(hi - lo) * DIMENSIONS).astype("<u4").reshape(hi - lo, DIMENSIONS)
+                place = owner * DIMENSIONS + (sets >> np.uint64(56)).astype(np.int64)
+                point = np.bincount(place, minlength=(hi - lo) * DIMENSIONS).reshape(hi - lo, DIMENSIONS)
+                # a count beyond the type would lower the bound: such a point bounds nothing
+                point[point.max(axis=1) > MOST_COUNT] = MOST_COUNT
+                point = point.astype("<u2")
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n_keys))).astype(np.int32))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -256,7 +260,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
 
 
 def points_in(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, DIMENSIONS).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, DIMENSIONS)
 
 
 def search_blocks(percent: int):
@@ -287,7 +291,7 @@ def within_bound(percent: int):
         keep = []
         a, b = pa_.to_pylist(), pb.to_pylist()
         for lo in range(0, len(a), 4096):
-            x, y = (np.frombuffer(b"".join(v[lo : lo + 4096]), dtype="<u4").reshape(-1, DIMENSIONS) for v in (a, b))
+            x, y = (np.frombuffer(b"".join(v[lo : lo + 4096]), dtype="<u2").reshape(-1, DIMENSIONS) for v in (a, b))
             keep.append(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= needed(total[lo : lo + 4096], percent))
         return pa.array(np.concatenate(keep) if keep else np.zeros(0, bool), pa.bool_())
 
@@ -386,7 +390,8 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     other = label.withColumnsRenamed({"node": "hub", "component": "other"})
     apart = F.coalesce("own", "row_") != F.coalesce("other", "hub")
     stars = members.join(own, "row_", "left").join(other, "hub", "left").where(apart)
-    links = stored(links.unionByName(check(stars.select(F.col("row_").alias("a"), F.col("hub").alias("b")).distinct())))
+    second = stars.groupBy(F.col("row_").alias("a")).agg(F.min("hub").alias("b")).where("a <> b")
+    links = stored(links.unionByName(check(second)))
     node = components(links).withColumnsRenamed({"node": "row_", "component": "label"})
     labelled = stored(
         members.join(node, "row_", "left").select("cell", "row_", F.coalesce("label", "row_").alias("label"))

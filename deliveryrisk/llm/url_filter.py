@@ -6,7 +6,7 @@ the addresses that a rule decides. A fifth of those is held out to calibrate
 the threshold, and the difference judges all addresses that no rule fits.
 
 Counts are kept in hashed tables of a fixed size (``SLOTS`` pair and context
-slots for each model, 16 MB in all), so what is broadcast never grows with the
+slots for each model, 8 MB in all), so what is broadcast never grows with the
 number of addresses; counts come from all of them.
 """
 

@@ -185,7 +185,7 @@ def test_near_copies_of_nothing(empty):
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(5)
     points = rng.poisson(2.0, size=(300, near_copies.DIMENSIONS))
-    points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, size=(150, near_copies.DIMENSIONS)) * (rng.random((150, 64)) < 0.1), 0)
+    points[150:] = np.maximum(points[:150] + rng.integers(-1, 2, size=(150, near_copies.DIMENSIONS)) * (rng.random((150, near_copies.DIMENSIONS)) < 0.1), 0)
     sizes = points.sum(axis=1)
     i, j = near_copies.Tree(points, sizes).search(points, sizes, 80)
     got = set(zip(i.tolist(), j.tolist(), strict=True))
