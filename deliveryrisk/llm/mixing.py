@@ -204,11 +204,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """The mixed documents: each text as often as the mix takes it, cut where a source stops.
 
     Null texts and texts without words have size 0 and are not taken. Rows are
-    told apart by position, so repeated rows and null ids are handled alike.
+    stored once with a number that tells them apart, so repeated rows and null
+    ids are handled alike and both sides of the join read the same numbers.
     All columns are kept; the text of a cut row ends after its last taken word.
     """
     row, takes = free_name(docs, "row__"), free_name(docs, "takes__")
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.col(row).alias("row_")
     )

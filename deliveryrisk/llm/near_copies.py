@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deliveryrisk.llm.common import find_words, free_name, mix, sliced_texts, stored, table
@@ -441,8 +441,7 @@ def near_copies(
     ``percent`` x the union. component_id is the smallest id reachable by links,
     the text's own included (null ids are never the smallest; a component of
     null ids has none). Texts without words link with nothing; equal texts and
-    repeated rows link. Rows are numbered by their place in ``docs``, which
-    should be a stored table.
+    repeated rows link. Rows are numbered in the one scan that describes them.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row_"))
     found = stored(link_components(rows, width, percent))
@@ -460,23 +459,40 @@ def near_copies(
 def drop_near_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """The rows that stay, with all their columns: of each component the row with the smallest id.
+    """The rows that stay, with all their columns: of each component one row with the smallest id.
 
-    A filter of bits over the numbers of the rows that go lets most texts pass
-    straight through; the others meet those numbers in a join. ``docs`` should
-    be a stored table, whose rows are read in the same places each time.
+    Rows that go are named by a key that lies in the data, id and text digest,
+    never by their place, so that later scans may read ``docs`` in other pieces.
+    A filter of bits over these keys lets most texts pass straight through; the
+    others meet the keys in a join. Where rows repeat the id and the text of the
+    row that stays, any one of them stays.
     """
-    row = free_name(docs, "row__")
-    gone = stored(
-        near_copies(docs, doc_id, text, width, percent).where("row_ <> first_row").select(F.col("row_").alias(row))
+    key = F.struct(
+        F.col(doc_id).isNull().alias("none"),
+        F.col(doc_id).alias("id"),
+        F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("digest"),
     )
-    bits = filter_bits(gone.count())
-    slot = F.pmod(F.xxhash64(row), F.lit(bits))
-    listed = in_blocks(slot, bit_blocks(gone.select(slot.alias("slot")), bits))
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    straight = numbered.where(~listed)
-    rest = numbered.where(listed).join(gone, row, "left_anti")
-    return straight.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    name = free_name(docs, "key__")
+    found = near_copies(docs.select(key.alias(name), F.col(text)), name, text, width, percent)
+    stays = F.col("row_") == F.col("first_row")
+    seen = found.groupBy(F.col("doc_id").alias(name)).agg(F.max(stays).alias("stays"), F.max(~stays).alias("goes"))
+    gone = stored(seen.where("goes").select(name, "stays"))
+    keyed = docs.withColumn(name, key)
+
+    def listed(keys: DataFrame) -> Column:
+        bits = filter_bits(keys.count())
+        slot = F.pmod(F.xxhash64(name), F.lit(bits))
+        return in_blocks(slot, bit_blocks(keys.select(slot.alias("slot")), bits))
+
+    may_go = listed(gone)
+    rest = keyed.where(may_go).join(gone.select(name), name, "left_anti")
+    kept = keyed.where(~may_go).select(*docs.columns).unionByName(rest.select(*docs.columns))
+    repeated = gone.where("stays").select(name)
+    if repeated.isEmpty():
+        return kept
+    row = F.any_value(F.struct(*docs.columns)).alias("row")
+    one = keyed.where(listed(repeated)).join(repeated, name).groupBy(name).agg(row)
+    return kept.unionByName(one.select("row.*"))
 
 
 def op1_near_copies(spark, sf_dir: str) -> DataFrame:

@@ -323,3 +323,44 @@ def test_schedule_spreads_sources(spark):
     assert {s: sum(r.words for r in rows if r.source == s) for s in "abc"} == {"a": 60_000, "b": 20_000, "c": 20_000}
     for lo in range(0, len(rows) - 100, 100):
         assert 56 <= sum(r.source == "a" for r in rows[lo : lo + 100]) <= 64
+
+
+@pytest.mark.parametrize("kind", ["near", "mix", "score"])
+def test_rows_read_in_other_pieces(spark, tmp_path, kind):
+    """Later scans may cut the input differently than the scan that numbered its rows."""
+    rows = [(i, " ".join(f"t{i}w{k}" for k in range(40 + i % 7)) if i % 3 else NEAR, f"s{i % 4}") for i in range(60)]
+    rows += rows[:6]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(12).write.parquet(path)
+    df = spark.read.parquet(path)
+    setting = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(setting)
+
+    def read(made):
+        """Rows of a plan made while each file is a piece of its own and read when files share pieces, and the reverse."""
+        out = []
+        for first, then in ((1 << 40, 0), (0, 1 << 40)):
+            try:
+                spark.conf.set(setting, str(first))
+                plan = made()
+                spark.conf.set(setting, str(then))
+                out.append(sorted(map(tuple, plan.collect())))
+            finally:
+                spark.conf.set(setting, before)
+        return out
+
+    if kind == "near":
+        want = sorted({(i, t, s) for i, t, s in rows if i % 3 or i == 0})
+        assert all(got == want for got in read(lambda: near_copies.drop_near_copies(df)))
+    elif kind == "mix":
+        for got in read(lambda: mixing.mix(df)):
+            words = {}
+            for _, t, s in got:
+                words[s] = words.get(s, 0) + len(t.split())
+            sizes = {}
+            for _, t, s in rows:
+                sizes[s] = sizes.get(s, 0) + len(t.split())
+            assert words == {s: int(t + 0.5) for s, t in brute.mix_targets(sizes).items()}
+    else:
+        want = sorted((i, n) for (i, _, _), (n, *_) in zip(rows, brute.base_scores([r[:2] for r in rows], 1), strict=True))
+        assert all(sorted((g[0], g[2]) for g in got) == want for got in read(lambda: lm_scoring.score(df)))
