@@ -364,3 +364,47 @@ def test_rows_read_in_other_pieces(spark, tmp_path, kind):
     else:
         want = sorted((i, n) for (i, _, _), (n, *_) in zip(rows, brute.base_scores([r[:2] for r in rows], 1), strict=True))
         assert all(sorted((g[0], g[2]) for g in got) == want for got in read(lambda: lm_scoring.score(df)))
+
+
+def test_contexts_share_no_slot(spark, monkeypatch):
+    """Counts that each word of every group meets, against counting contexts as strings."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    words = sorted({"".join(rng.choice(list("abcd"), int(rng.integers(1, 9)))).encode() for _ in range(400)})
+    rows = [(i, w, int(rng.integers(0, 4)), i % 5) for i, w in enumerate(words)]
+    vocabulary = spark.createDataFrame(rows, "hash long, word binary, n long, part int")
+
+    def symbol_contexts(word):
+        coded = word + b" "
+        for i in range(len(coded)):
+            for k in range(lm_scoring.ORDERS + 1):
+                yield i, k, coded[max(0, i - k) : i].rjust(k, b"\0"), coded[i]
+            yield i, lm_scoring.PREDICTORS - 1, coded[:i], coded[i]
+
+    exact = {}
+    for _, w, n, _ in rows:
+        for _, k, context, byte in symbol_contexts(w):
+            counts = exact.setdefault((k, context), {})
+            counts[byte] = counts.get(byte, 0) + n
+    shared = lm_scoring.shared_counts(vocabulary)
+    top = shared.where("size(parts) = 5").agg(F.sum(F.size("entries")).alias("n")).first()["n"]
+    monkeypatch.setattr(lm_scoring, "HEAD_COUNTS", top)
+    least = lm_scoring.widest(shared)
+    head = lm_scoring.head_arrays(lm_scoring.flat(shared.where(F.size("parts") >= least)).toArrow())
+    met = lm_scoring.flat(shared.where(F.size("parts") < least).withColumn("part", F.explode("parts")), "part").toArrow()
+    assert head[2].size == top and met.num_rows > 0
+    for part in range(5):
+        mine = [r for r in rows if r[3] == part]
+        table = pa.table({"word": pa.array([r[1] for r in mine], pa.binary()), "n": [r[2] for r in mine]})
+        here = met.filter(pa.array(met.column("part").to_numpy() == part))
+        _, _, zeros, ones, slots_at = lm_scoring.group_tables(table, here, head)
+        at = 0
+        for _, w, _, _ in mine:
+            for i, k, context, byte in symbol_contexts(w):
+                for bit in range(8):
+                    same = {b: c for b, c in exact[k, context].items() if b >> (8 - bit) == byte >> (8 - bit)}
+                    one = sum(c for b, c in same.items() if b >> (7 - bit) & 1)
+                    slot = slots_at(bit)[k][at + i]
+                    assert (zeros[slot], ones[slot]) == (sum(same.values()) - one, one)
+            at += len(w) + 1
