@@ -127,11 +127,14 @@ class Words(NamedTuple):
     counts: np.ndarray
 
 
-def find_words(texts: list[bytes]) -> Words:
-    """Words of the lower-cased texts with 64-bit hashes (a polynomial of random byte values, then mixed)."""
+def find_words(texts: list[bytes], gap: np.ndarray = _IS_SPACE) -> Words:
+    """Words of the lower-cased texts with 64-bit hashes (a polynomial of random byte values, then mixed).
+
+    ``gap`` marks the byte values between words; the space must be one of them.
+    """
     buf = _LOWER[np.frombuffer(b" ".join(texts), dtype=np.uint8)]
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
-    edge = np.diff(np.concatenate(([True], _IS_SPACE[buf], [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], gap[buf], [True])).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     forth, back = _powers(buf.size + 1)
     total = np.zeros(buf.size + 1, dtype=np.uint64)
