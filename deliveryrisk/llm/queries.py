@@ -19,6 +19,9 @@ REGISTERED = {
     "op8_lm_scoring": ("lm_scoring", None),
     "op9_mixing": ("mixing", "OP9_SQL"),
     "op10_url_filter": ("url_filter", None),
+    "op11_decontamination": ("decontamination", "OP11_SQL"),
+    "op12_conversation_repair": ("conversations", "OP12_SQL"),
+    "op13_vector_codes": ("vector_codes", "OP13_SQL"),
 }
 
 
