@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deliveryrisk.functions.materialize import materialize
@@ -18,6 +18,9 @@ from deliveryrisk.models.iforest import TREE_SCHEMA, average_path, grow, path_le
 
 # Windows whose forests are held by a task at the same time.
 TOGETHER = 12
+# Buckets of scores that a task counts for each window, and scores that are told apart in the end.
+BUCKETS = 4096
+FEW_SCORES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -73,12 +76,9 @@ def forest_rates(
     """
     size = {s.number: min(sample_size, s.n) for s in some}
     share = {s.number: min(1.0, 1.3 * size[s.number] / s.n) for s in some}
-    table = F.array(
-        *[
-            F.struct(F.lit(s.number).alias("w"), F.lit(s.month).alias("until"), F.lit(share[s.number]).alias("share"))
-            for s in some
-        ]
-    )
+    spans_of = [(s.number, s.month, share[s.number]) for s in some]
+    listed = rows.sparkSession.createDataFrame(spans_of, "w int, until date, share double")
+    table = listed.agg(F.collect_list(F.struct("w", "until", "share"))).scalar()
     widest = max(share.values())
 
     def draw(tree):
@@ -86,7 +86,9 @@ def forest_rates(
 
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < widest)
     sample = rows.withColumn("tree", F.explode(trees)).withColumn("draw", draw(F.col("tree")))
-    inside = F.filter(table, lambda s: (s["until"] >= F.col("month")) & (F.col("draw") < s["share"]))
+    # a subquery cannot stand inside the filter
+    sample = sample.withColumn("spans", table)
+    inside = F.filter("spans", lambda s: (s["until"] >= F.col("month")) & (F.col("draw") < s["share"]))
     sample = sample.withColumn("s", F.explode(inside)).select("tree", "draw", "id", "x", F.col("s.w").alias("w"))
     by_number = {s.number: s for s in some}
 
@@ -112,19 +114,119 @@ def forest_rates(
     sent = rows.sparkSession.sparkContext.broadcast(forests)
     months = {s.number: s.month for s in some}
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scores(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Scores of a batch in every window that has some of its rows."""
+        for w, trees_of in sent.value.items():
+            part = pdf[pdf["month"] <= months[w]]
+            if len(part):
+                x = by_number[w].scaled(np.stack(part["x"].to_numpy()).astype(float))
+                yield w, -np.power(2.0, -path_lengths(x, trees_of) / (average_path(size[w]) or 1.0))
+
+    at = {s.number: contamination * (s.n - 1) for s in some}
+    return low_shares(rows.select("month", "x"), scores, at, {s.number: s.n for s in some})
+
+
+def counted(
+    rows: DataFrame, scores: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]], held: dict[int, tuple[float, float]]
+) -> DataFrame:
+    """Scores of each window counted inside the tasks: by buckets between the window's limits.
+
+    ``held`` gives the limits; bucket -1 lies below. Every task returns at most
+    BUCKETS + 1 rows for a window.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {w: np.zeros(BUCKETS + 2, dtype=np.int64) for w in held}
         for pdf in batches:
-            for w, trees_of in sent.value.items():
-                part = pdf[pdf["month"] <= months[w]]
-                if len(part):
-                    x = by_number[w].scaled(np.stack(part["x"].to_numpy()).astype(float))
-                    norm = average_path(size[w]) or 1.0
-                    yield pd.DataFrame({"w": w, "score": -np.power(2.0, -path_lengths(x, trees_of) / norm)})
-
-    scored = materialize(rows.select("month", "x").mapInPandas(score, "w int, score double"))
-    cut = quantiles(scored, {"cut": ("score", contamination)}, ["w"])
-    rates = scored.join(cut, "w").groupBy("w").agg(F.avg((F.col("score") < F.col("cut")).cast("double")).alias("rate"))
-    return {r["w"]: r["rate"] for r in rates.collect()}
+            for w, s in scores(pdf):
+                if w in held:
+                    total[w] += np.bincount(bucket_of(s, *held[w]) + 1, minlength=BUCKETS + 2)
+        for w, n in total.items():
+            used = np.flatnonzero(n[:-1])
+            yield pd.DataFrame({"w": w, "bucket": used - 1, "n": n[used]})
+
+    return rows.mapInPandas(run, "w int, bucket long, n long").groupBy("w", "bucket").agg(F.sum("n").alias("n"))
+
+
+def bucket_of(s: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Bucket of each score between the limits, -1 below and BUCKETS above."""
+    at = np.floor((s - low) / (high - low) * BUCKETS)
+    at = np.where(s == high, BUCKETS - 1, at)
+    return np.clip(at, -1, BUCKETS).astype(np.int64)
+
+
+def distinct_scores(
+    rows: DataFrame, scores: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]], held: dict[int, tuple[float, float]]
+) -> DataFrame:
+    """Different scores between the limits of each window, with their counts, and the count below as NULL."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for w, s in scores(pdf):
+                low, high = held[w]
+                found, n = np.unique(s[(s >= low) & (s <= high)], return_counts=True)
+                below = int((s < low).sum())
+                yield pd.DataFrame({"w": w, "score": [*found.tolist(), None], "n": [*n.tolist(), below]})
+
+    return rows.mapInPandas(run, "w int, score double, n long").groupBy("w", "score").agg(F.sum("n").alias("n"))
+
+
+def low_shares(
+    rows: DataFrame,
+    scores: Callable[[pd.DataFrame], Iterator[tuple[int, np.ndarray]]],
+    at: dict[int, float],
+    sizes: dict[int, int],
+) -> dict[int, float]:
+    """Share of each window's scores below its score at position ``at`` (linear between two ranks).
+
+    Buckets counted inside the tasks bracket the position and are refined until
+    the bracket holds few scores; only those are told apart. Nothing is stored
+    for a row or a window.
+    """
+    limits = dict.fromkeys(at, (-1.0, 0.0))
+    open_ = {w: limits[w] for w in at if sizes[w] > FEW_SCORES}
+    while open_:
+        counts: dict[int, list] = {w: [] for w in open_}
+        for r in counted(rows, scores, open_).orderBy("w", "bucket").collect():
+            counts[r["w"]].append((r["bucket"], r["n"]))
+        narrower = {}
+        for w, (low, high) in open_.items():
+            width, seen, ends = (high - low) / BUCKETS, 0, []
+            for bucket, n in counts[w]:
+                # the buckets of the two ranks around the position
+                for rank in (math.floor(at[w]), math.ceil(at[w])):
+                    if seen <= rank < seen + n:
+                        ends.append((bucket, n))
+                seen += n
+            first, last = ends[0][0], ends[-1][0]
+            limits[w] = (low + first * width, low + (last + 1) * width if last < BUCKETS - 1 else high)
+            if sum(n for _, n in set(ends)) > FEW_SCORES and limits[w][0] < limits[w][1] < 0 and width > 1e-15:
+                narrower[w] = limits[w]
+        if narrower == open_:
+            break
+        open_ = narrower
+    # room for rounding at the limits
+    held = {w: (low - 1e-12, high + 1e-12) for w, (low, high) in limits.items()}
+    upto = Window.partitionBy("w").orderBy(F.asc_nulls_first("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = materialize(
+        distinct_scores(rows, scores, held).withColumn("below", F.sum("n").over(upto) - F.col("n")).where(F.col("score").isNotNull())
+    )
+    places = rows.sparkSession.createDataFrame(
+        [(w, math.floor(p), math.ceil(p), p - math.floor(p), sizes[w]) for w, p in at.items()],
+        "w int, lo long, hi long, part double, size long",
+    )
+    known = values.join(F.broadcast(places), "w")
+
+    def value(rank: str) -> Column:
+        return F.max(F.when((F.col("below") <= F.col(rank)) & (F.col(rank) < F.col("below") + F.col("n")), F.col("score")))
+
+    cut = known.groupBy("w").agg((value("lo") + (value("hi") - value("lo")) * F.max("part")).alias("cut"))
+    # rows below the cut: those below the first score that is not
+    below = known.join(F.broadcast(cut), "w").groupBy("w").agg(
+        F.coalesce(F.min(F.when(F.col("score") >= F.col("cut"), F.col("below"))), F.max("size")).alias("below"),
+        F.max("size").alias("size"),
+    )
+    return {r["w"]: r["below"] / r["size"] for r in below.collect()}
 
 
 def expanding_window_training(

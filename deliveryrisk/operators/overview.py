@@ -144,8 +144,15 @@ def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    wanted = {"q1": ("v", 0.25), "median": ("v", 0.5), "q3": ("v", 0.75)}
-    return stats.join(quantiles(tall, wanted, ["column_name"]), "column_name", "left")
+    parts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    q = quantiles(df, {f"{i}_{name}": (c, p) for i, c in enumerate(columns) for name, p in parts.items()})
+    found = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), *[F.col(f"{i}_{name}").alias(name) for name in parts])
+            for i, c in enumerate(columns)
+        ]
+    )
+    return stats.join(q.select(F.explode(found).alias("e")).select("e.*"), "column_name", "left")
 
 
 def describe_orders(orders: DataFrame) -> DataFrame:

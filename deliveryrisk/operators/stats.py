@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,21 +202,56 @@ def top_correlates(df: DataFrame, target: str, columns: Sequence[str], n: int =
 REGRESSION_FEATURES = ["trips", "age", "total_orders", "avg_order_value", "pct_orders_with_missing"]
 
 
-def linear_regression(features: DataFrame, id_column: str = "driver_id") -> DataFrame:
-    """ST-10: missing rate on five driver features; a hash of the id holds a quarter back for testing."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def least_squares(df: DataFrame, x: Sequence[str], y: str, is_test: Column) -> dict[str, float]:
+    """Coefficients fitted on one part of the rows, R² and RMSE on the other, from one aggregate.
+
+    Counts, means and covariances of both parts are enough: the squared errors of
+    the test rows follow from them. A column without variance gets 0.
+    """
+    names = [*x, y]
+    parts = {"fit": ~is_test, "test": is_test}
+    stats = df.agg(
+        *[F.count(F.when(part, 1)).alias(f"{p}_n") for p, part in parts.items()],
+        *[F.avg(F.when(part, F.col(c))).alias(f"{p}_{i}") for p, part in parts.items() for i, c in enumerate(names)],
+        *[
+            F.covar_pop(F.when(part, F.col(a)), F.when(part, F.col(b))).alias(f"{p}_{i}_{j}")
+            for p, part in parts.items()
+            for i, a in enumerate(names)
+            for j, b in enumerate(names[i:], i)
+        ],
+    ).first()
+
+    def moments(p: str) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.array([stats[f"{p}_{i}"] or 0.0 for i in range(len(names))])
+        pairs = [[stats[f"{p}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))]
+        return mean, np.array(pairs)
+
+    mean, cov = moments("fit")
+    scale = np.sqrt(np.diag(cov))
+    scale[scale == 0] = 1.0
+    # in units of the deviations, so that the cutoff for collinear columns is the same for all
+    unit = cov / scale[:, None] / scale[None, :]
+    slopes = np.linalg.lstsq(unit[:-1, :-1], unit[:-1, -1], rcond=1e-10)[0] * scale[-1] / scale[:-1]
+    intercept = mean[-1] - slopes @ mean[:-1]
+    out = dict(zip(x, slopes.tolist(), strict=True)) | {"intercept": float(intercept)}
+    if stats["test_n"]:
+        mean, cov = moments("test")
+        weights = np.append(-slopes, 1.0)
+        error = weights @ cov @ weights + (weights @ mean - intercept) ** 2
+        out |= {"r2": float(1.0 - error / cov[-1, -1]) if cov[-1, -1] else 0.0, "rmse": float(np.sqrt(max(error, 0.0)))}
+    return out
+
+
+def held_back(id_column: str) -> Column:
+    """A quarter of the rows, by the first digit of the id's digest."""
+    return F.substring(F.md5(F.col(id_column).cast("string").cast("binary")), 1, 1).isin("0", "4", "8", "c")
 
+
+def linear_regression(features: DataFrame, id_column: str = "driver_id") -> DataFrame:
+    """ST-10: missing rate on five driver features; a digest of the id holds a quarter back for testing."""
     data = features.select(
         id_column,
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in [*REGRESSION_FEATURES, "missing_rate"]],
-    ).withColumn("_test", F.pmod(F.xxhash64(id_column), F.lit(4)) == 0)
-    rows = VectorAssembler(inputCols=REGRESSION_FEATURES, outputCol="features").transform(data)
-    model = LinearRegression(featuresCol="features", labelCol="missing_rate").fit(rows.where(~F.col("_test")))
-    scored = model.transform(rows.where("_test"))
-    metric = RegressionEvaluator(labelCol="missing_rate", predictionCol="prediction")
-    out = [(f, float(c)) for f, c in zip(REGRESSION_FEATURES, model.coefficients)]
-    out += [("intercept", float(model.intercept))]
-    out += [(m, float(metric.evaluate(scored, {metric.metricName: m}))) for m in ("r2", "rmse")]
-    return features.sparkSession.createDataFrame(out, "term string, value double")
+    )
+    found = least_squares(data, REGRESSION_FEATURES, "missing_rate", held_back(id_column))
+    return features.sparkSession.createDataFrame(list(found.items()), "term string, value double")

@@ -10,16 +10,21 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deliveryrisk.functions.materialize import ensure_checkpoint_dir
+from deliveryrisk.functions.materialize import ensure_checkpoint_dir, materialize
+from deliveryrisk.operators import contracts as X
 from deliveryrisk.operators import customers as C
 from deliveryrisk.operators import drivers as D
 from deliveryrisk.operators import overview as A
 from deliveryrisk.operators import quality as Q
+from deliveryrisk.operators import indicators as R
 from deliveryrisk.operators import regions as G
-from deliveryrisk.plans.registry import query
-from deliveryrisk.plans.sqlparts import MONEY
+from deliveryrisk.operators import temporal as TM
+from deliveryrisk.plans.registry import query, sql_rate
+from deliveryrisk.plans.sqlparts import CUSTOMER_SUMMARY, DRIVER_SUMMARY, MONEY
 from deliveryrisk.sources import ingest as I
 
+ORDER_RATE = sql_rate("SUM(items_missing)", "SUM(items_delivered)")
+
 
 def padded(c):
     return F.concat(F.lit("  "), F.col(c).cast("string"), F.lit(" "))
@@ -521,3 +526,97 @@ def _(t):
         "customer_summary": C.customer_summary(t.customers, t.orders),
     }
     return Q.validate_outputs({n: (df, CONTRACTS[n]) for n, df in frames.items()})
+
+
+def contract_sql(views):
+    """Every rule counted again from the views of the outputs; rules about the schema hold as declared."""
+    found = []
+
+    def add(output, rule, severity, count):
+        found.append(f"""SELECT '{output}' AS output, '{rule.replace("'", "''")}' AS rule, '{severity}' AS severity, CAST({count} AS BIGINT) AS violations""")
+
+    for name, view in views.items():
+        c = X.CONTRACTS[name]
+        for col, kind in c.columns.items():
+            add(name, f"has column {col}", "issue", 0)
+            if kind:
+                add(name, f"{col} is a {kind}", "issue", 0)
+
+        def rows(bad):
+            return f"(SELECT COUNT(*) FROM {view} WHERE {bad})"
+
+        for severity, names in (("issue", c.not_null), ("warning", c.warn_null)):
+            for col in names:
+                add(name, f"no null in {col}", severity, rows(f"{col} IS NULL"))
+        for col, (low, high) in c.ranges.items():
+            outside = [f"{col} < {low}"] * (low is not None) + [f"{col} > {high}"] * (high is not None)
+            add(name, f"range of {col}", "issue", rows(" OR ".join(outside)))
+        for col, values in c.allowed.items():
+            add(name, f"values of {col}", "warning", rows(f"{col} NOT IN {tuple(values)}"))
+        if c.unique:
+            add(name, f"unique {', '.join(c.unique)}", "issue", f"(SELECT COUNT(*) - COUNT(DISTINCT ({', '.join(c.unique)})) FROM {view})")
+        if c.least_rows:
+            add(name, f"at least {c.least_rows} rows", "issue", f"(SELECT GREATEST({c.least_rows} - COUNT(*), 0) FROM {view})")
+        for rule, condition in c.checks.items():
+            add(name, rule, "issue", rows(f"NOT ({condition})"))
+
+    def measure(end):
+        return f"(SELECT {X.CONTRACTS[end[0]].measures[end[1]]} FROM {views[end[0]]})"
+
+    for r in X.RELATIONS:
+        if isinstance(r, X.Parity):
+            add(r.left[0], r.rule, "issue", f"CASE WHEN ABS({measure(r.left)} - {measure(r.right)}) <= {r.tolerance} THEN 0 ELSE 1 END")
+        else:
+            (child, key), (parent, of) = r.child, r.parent
+            add(child, r.rule, "issue", f"(SELECT COUNT(*) FROM {views[child]} c WHERE {key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {views[parent]} p WHERE p.{of} = c.{key}))")
+    return " UNION ALL ".join(found)
+
+
+OUTPUT_VIEWS = {
+    "orders": "ord", "drivers": "drv", "customers": "cus", "products": "prd", "missing_items": "mis", "overview_metrics": "ov",
+    "month_of_year": "moy", "risk_alerts": "al", "risk_distribution": "rd", "regional_summary": "rs", "driver_summary": "ds",
+    "customer_summary": "cs",
+}
+
+
+@query(
+    "output_contracts",
+    f"""WITH {DRIVER_SUMMARY}, {CUSTOMER_SUMMARY},
+rs AS (SELECT region, COUNT(*) AS total_orders, SUM(items_missing) AS items_missing, {ORDER_RATE} AS missing_rate FROM ord GROUP BY region),
+moy AS (SELECT EXTRACT(MONTH FROM order_date) AS month, STRFTIME(order_date, '%b') AS month_name, COUNT(*) AS total_orders,
+  SUM(items_missing) AS items_missing, {ORDER_RATE} AS missing_rate FROM ord GROUP BY 1, 2),
+ov AS (SELECT COUNT(*) AS total_orders, SUM(items_missing) AS total_items_missing, {ORDER_RATE} AS overall_missing_rate,
+  COUNT(CASE WHEN items_missing > 0 THEN 1 END) AS orders_with_missing,
+  COUNT(CASE WHEN items_missing > 0 THEN 1 END) * 100.0 / COUNT(*) AS pct_orders_with_missing, SUM(items_missing) * 1.0 AS estimated_loss,
+  MIN(order_date) AS date_range_start, MAX(order_date) AS date_range_end, (SELECT COUNT(*) FROM drv) AS total_drivers,
+  (SELECT COUNT(*) FROM cus) AS total_customers FROM ord),
+al AS (SELECT 'Driver' AS entity_type, CAST(driver_id AS VARCHAR) AS entity_id, risk_score, risk_category FROM ds WHERE risk_score >= 70
+  UNION ALL SELECT 'Customer', CAST(customer_id AS VARCHAR), risk_score, risk_category FROM cs WHERE risk_score >= 70
+  UNION ALL SELECT 'Region', region, missing_rate, CASE WHEN missing_rate > (SELECT AVG(missing_rate) FROM rs) * 1.5 THEN 'High' ELSE 'Medium' END
+    FROM rs WHERE missing_rate > (SELECT AVG(missing_rate) FROM rs) * 0.75),
+lv AS (SELECT UNNEST({list(X.LEVELS)}) AS risk_category),
+rd AS (SELECT 'driver' AS entity_type, risk_category, (SELECT COUNT(*) FROM ds WHERE ds.risk_category = lv.risk_category) AS n FROM lv
+  UNION ALL SELECT 'customer', risk_category, (SELECT COUNT(*) FROM cs WHERE cs.risk_category = lv.risk_category) FROM lv),
+rules AS ({contract_sql(OUTPUT_VIEWS)})
+SELECT *, violations = 0 AS passed FROM rules""",
+)
+def _(t):
+    orders = materialize(t.orders)
+    drivers, customers = D.driver_summary(t.drivers, orders), C.customer_summary(t.customers, orders)
+    regional = G.regional_summary(orders)
+    return X.check_summaries(
+        {
+            "orders": orders,
+            "drivers": t.drivers,
+            "customers": t.customers,
+            "products": t.products,
+            "missing_items": t.positioned_items,
+            "overview_metrics": A.overview_metrics(orders, t.drivers, t.customers),
+            "month_of_year": TM.trends_month_of_year(orders),
+            "risk_alerts": R.risk_alerts(drivers, customers, regional),
+            "risk_distribution": R.risk_distribution(drivers, customers),
+            "regional_summary": regional,
+            "driver_summary": drivers,
+            "customer_summary": customers,
+        }
+    )

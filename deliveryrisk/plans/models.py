@@ -89,12 +89,60 @@ def _(t):
     return IsolationForest.fit(df, COLUMNS, "order_id").risk_scores(df, "order_id")
 
 
-@query("local_outlier_factor")
+def standard_sql(columns):
+    """z: id and the array v of standardised columns of the frame f."""
+    parts = ", ".join(
+        f"(COALESCE({c}, (SELECT MEDIAN({c}) FROM f)) - (SELECT AVG({c}) FROM f)) / (SELECT COALESCE(NULLIF(STDDEV_POP({c}), 0), 1.0) FROM f)"
+        for c in columns
+    )
+    return f"z AS (SELECT id, [{parts}] AS v FROM f)"
+
+
+# From z: distances of all pairs of rows, the 20 nearest (equal rows first, then by the smallest id of a point's copies).
+LOF_SQL = """p AS MATERIALIZED (SELECT id, v, MIN(id) OVER (PARTITION BY v) AS pid FROM z),
+near AS MATERIALIZED (
+  SELECT id, nid, dist FROM (
+    SELECT a.id, b.id AS nid, LIST_DISTANCE(a.v, b.v) AS dist,
+           ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY LIST_DISTANCE(a.v, b.v), b.pid, b.id) AS rn
+    FROM p a JOIN p b ON a.id <> b.id) WHERE rn <= 20),
+reach AS (SELECT id, MAX(dist) AS k_dist FROM near GROUP BY id),
+dense AS (
+  SELECT near.id, 1.0 / (AVG(GREATEST(dist, k_dist)) + 1e-10) AS lrd FROM near JOIN reach ON reach.id = near.nid GROUP BY near.id),
+lof AS (
+  SELECT near.id, -AVG(other.lrd) / MAX(own.lrd) AS score
+  FROM near JOIN dense own ON own.id = near.id JOIN dense other ON other.id = near.nid GROUP BY near.id)
+SELECT id, score, CAST(CASE WHEN score < (SELECT QUANTILE_CONT(score, 0.1) FROM lof) THEN -1 ELSE 1 END AS INTEGER) AS prediction
+FROM lof"""
+
+# From z: pairs within 0.5, cores with ten of them, the smallest core reached through cores.
+DBSCAN_SQL = """near AS MATERIALIZED (
+  SELECT a.id, b.id AS nid FROM z a JOIN z b ON ABS(a.v[1] - b.v[1]) <= 0.5 AND LIST_DISTANCE(a.v, b.v) <= 0.5),
+core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING COUNT(*) >= 10),
+link AS MATERIALIZED (SELECT near.id, nid FROM near SEMI JOIN core ON core.id = near.id SEMI JOIN core c ON c.id = near.nid),
+reached AS (SELECT id, id AS label FROM core UNION SELECT link.nid, reached.label FROM reached JOIN link ON link.id = reached.id),
+label AS MATERIALIZED (SELECT id, MIN(label) AS label FROM reached GROUP BY id),
+touched AS (SELECT near.id, MIN(label.label) AS label FROM near JOIN label ON label.id = near.nid GROUP BY near.id),
+done AS (
+  SELECT z.id, CASE WHEN label.id IS NOT NULL THEN 'core' WHEN touched.id IS NOT NULL THEN 'border' ELSE 'noise' END AS role,
+         COALESCE(label.label, touched.label, -1) AS cluster
+  FROM z LEFT JOIN label ON label.id = z.id LEFT JOIN touched ON touched.id = z.id)"""
+
+CUSTOMER_ROWS = f"WITH RECURSIVE {CUSTOMER_FEATURES}, f AS (SELECT customer_id AS id, {', '.join(ENTITY_COLUMNS)} FROM cf)"
+
+
+@query("local_outlier_factor", f"{CUSTOMER_ROWS}, {standard_sql(ENTITY_COLUMNS)}, {LOF_SQL}", "score")
 def _(t):
     return LocalOutlierFactor(ENTITY_COLUMNS).fit_predict(customer_data(t), "customer_id")
 
 
-@query("local_outlier_factor_embeddings")
+@query(
+    "local_outlier_factor_embeddings",
+    f"""WITH RECURSIVE e AS (
+  SELECT vec_id AS id, UNNEST(embedding)::DOUBLE AS x, GENERATE_SUBSCRIPTS(embedding, 1) AS i FROM embeddings),
+s AS (SELECT i, AVG(x) AS m, STDDEV_POP(x) AS d FROM e GROUP BY i),
+z AS (SELECT id, LIST((x - m) / d ORDER BY i) AS v FROM e JOIN s USING (i) GROUP BY id), {LOF_SQL}""",
+    "score",
+)
 def _(t):
     wide = t.raw("embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
     return LocalOutlierFactor([f"e{i}" for i in range(64)]).fit_predict(wide, "vec_id")
@@ -126,7 +174,29 @@ def _(t):
     return K.cluster_statistics(clustered, columns)
 
 
-@query("dbscan")
+@query(
+    "driver_clusters",
+    """SELECT COUNT(DISTINCT driver_id) AS drivers, CAST(SUM(items_missing) AS BIGINT) AS items_missing, TRUE AS ordered,
+  TRUE AS apart FROM drv LEFT JOIN ord USING (driver_id)""",
+)
+def _(t):
+    """Totals over the clusters, whether they rise by missing rate, and whether the silhouette is positive."""
+    found = K.cluster_drivers(driver_data(t), n_init=3)
+    rates = F.array_sort(F.collect_list(F.struct("cluster", "missing_rate")))["missing_rate"]
+    return found.stats.agg(
+        F.sum("drivers").alias("drivers"),
+        F.sum("total_items_missing").alias("items_missing"),
+        (rates == F.array_sort(rates)).alias("ordered"),
+        F.lit(found.silhouette > 0).alias("apart"),
+    )
+
+
+@query("driver_cluster_importance")
+def _(t):
+    return K.cluster_drivers(driver_data(t), n_init=3).importance
+
+
+@query("dbscan", f"{CUSTOMER_ROWS}, {standard_sql(ENTITY_COLUMNS)}, {DBSCAN_SQL} SELECT * FROM done")
 def _(t):
     return DBSCAN(ENTITY_COLUMNS).fit_predict(customer_data(t), "customer_id")
 
@@ -297,7 +367,6 @@ def _(t):
         version.alias("version"),
         "ts",
     )
-    folder = jobs.new_folder(t.spark)
     schema = "order_id bigint, order_amount double, status string, change_id bigint, version struct<at: bigint, event_id: bigint>"
-    latest = jobs.LatestOrders(t.spark, f"{folder}/orders", schema)
-    return latest.run(changes, f"{folder}/state").drop("version")
+    latest = jobs.LatestOrders(t.spark, jobs.new_folder(t.spark), schema)
+    return latest.run(changes).drop("version")

@@ -104,7 +104,10 @@ def sql_round(value: str, digits: int) -> str:
 
 def oracle_text(q: Query) -> str:
     body = q.sql.strip()
-    joined = CANONICAL_SQL + (",\n" + body[5:] if body[:5].upper() == "WITH " else "\n" + body)
+    head, own = CANONICAL_SQL, body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        head, own = head.replace("WITH ", "WITH RECURSIVE ", 1), f"WITH {body[15:]}"
+    joined = head + (",\n" + own[5:] if own[:5].upper() == "WITH " else "\n" + own)
     replaced = ", ".join(f"{sql_round(c, DIGITS)} + 0.0 AS {c}" for c in q.doubles)
     star = f"* REPLACE ({replaced})" if replaced else "*"
     return f"SELECT {star} FROM (\n{joined}\n) AS q"

@@ -173,6 +173,33 @@ def _(t):
     return S.top_correlates(O.orders_enriched(t.orders), "items_missing", TARGETS)
 
 
-@query("linear_regression")
+def sql_regression(columns, target):
+    """Elimination on the matrix of covariances, a column at a time; c{i}_{j} is its cell, b{i} a slope."""
+    names, k = [*columns, target], len(columns)
+    cells = [(i, j) for i in range(k) for j in range(k + 1)]
+    steps = ["e0 AS (SELECT " + ", ".join(f"COVAR_POP({names[i]}, {names[j]}) AS c{i}_{j}" for i, j in cells) + " FROM fit)"]
+    for s in range(k):
+        pivot = {(i, j): f"c{i}_{j} / c{s}_{s}" if i == s else f"c{i}_{j} - c{i}_{s} / c{s}_{s} * c{s}_{j}" for i, j in cells}
+        steps.append(f"e{s + 1} AS (SELECT " + ", ".join(f"{v} AS c{i}_{j}" for (i, j), v in pivot.items()) + f" FROM e{s})")
+    slopes = ", ".join(f"c{i}_{k} AS b{i}" for i in range(k))
+    line = " + ".join(f"b{i} * {c}" for i, c in enumerate(columns))
+    means = " + ".join(f"b{i} * (SELECT AVG({c}) FROM fit)" for i, c in enumerate(columns))
+    terms = " UNION ALL ".join(f"SELECT '{c}' AS term, b{i} AS value FROM b" for i, c in enumerate(columns))
+    return f"""{", ".join(steps)}, b0 AS (SELECT {slopes} FROM e{k}),
+b AS (SELECT b0.*, (SELECT AVG({target}) FROM fit) - ({means}) AS a FROM b0),
+r AS (SELECT AVG(({target} - a - ({line})) ** 2) AS e, VAR_POP({target}) AS v FROM test, b)
+{terms} UNION ALL SELECT 'intercept', a FROM b UNION ALL SELECT 'r2', 1 - e / v FROM r UNION ALL SELECT 'rmse', SQRT(e) FROM r"""
+
+
+REGRESSED = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0) AS {c}" for c in [*S.REGRESSION_FEATURES, "missing_rate"])
+
+
+@query(
+    "linear_regression",
+    f"""WITH {DRIVER_FEATURES}, rows_ AS (
+  SELECT {REGRESSED}, MD5(CAST(driver_id AS VARCHAR))[1] IN ('0', '4', '8', 'c') AS held FROM df WHERE total_orders > 0),
+fit AS (SELECT * FROM rows_ WHERE NOT held), test AS (SELECT * FROM rows_ WHERE held), {sql_regression(S.REGRESSION_FEATURES, "missing_rate")}""",
+    "value",
+)
 def _(t):
     return S.linear_regression(features(t).where("total_orders > 0"))

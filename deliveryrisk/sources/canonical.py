@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deliveryrisk.functions.ranking import ordered_positions
+from deliveryrisk.functions.ranking import line_positions
 
 # The schemas of the input files, given so that no read has to open a file first.
 SCHEMAS = {
@@ -91,9 +91,7 @@ class Tables:
                 "l_suppkey",
             )
         )
-        numbered = ordered_positions(
-            rows, ["order_id"], "product_id", ["l_linenumber"], ["l_suppkey"], "item_position"
-        )
+        numbered = line_positions(rows, ["order_id"], ["l_linenumber"], "product_id", ["l_suppkey"], "item_position")
         return numbered.select(
             F.concat_ws("-", "order_id", "item_position").alias("missing_item_id"),
             "order_id",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Raw CSV columns, all read as text.
@@ -197,18 +199,98 @@ def upsert_orders(current: DataFrame, changes: DataFrame, mode: str = "update",
 LOAD_ORDER = ["regions", "drivers", "customers", "products", "orders", "missing_items"]
 
 
+class LoadError(RuntimeError):
+    """A table could not be written; nothing of the load is visible."""
+
+    def __init__(self, table: str, cause: Exception):
+        super().__init__(f"{table}: {cause}")
+        self.table = table
+
+
+class Folders:
+    """Renames and deletes below one folder, in whatever store it lies."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.system = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        return self.system.exists(self.path(name))
+
+    def move(self, source: str, target: str) -> None:
+        self.system.mkdirs(self.path(target).getParent())
+        if not self.system.rename(self.path(source), self.path(target)):
+            raise OSError(f"cannot move {source} to {target}")
+
+    def files(self, name: str) -> list[str]:
+        return [f.getPath().getName() for f in self.system.listStatus(self.path(name)) if f.getPath().getName().startswith("part-")]
+
+    def delete(self, name: str) -> None:
+        self.system.delete(self.path(name), True)
+
+
+def in_load_order(tables: Mapping[str, DataFrame]) -> list[str]:
+    return [t for t in LOAD_ORDER if t in tables] + [t for t in tables if t not in LOAD_ORDER]
+
+
+def write_staged(df: DataFrame, path: str) -> int:
+    """Write a frame and count its rows on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return int(seen.get.get("n", 0))
+
+
+def commit(folders: Folders, stage: str, out: str, names: Sequence[str], truncate: bool) -> None:
+    """Make staged tables visible; if one cannot be moved, those moved before are put back."""
+    undo: list[tuple[str, str]] = []
+    try:
+        for name in names:
+            target = f"{out}/{name}"
+            if truncate or not folders.exists(target):
+                if folders.exists(target):
+                    folders.move(target, f"{stage}/old/{name}")
+                    undo.append((f"{stage}/old/{name}", target))
+                folders.move(f"{stage}/new/{name}", target)
+                undo.append((target, f"{stage}/new/{name}"))
+            else:
+                for file in folders.files(f"{stage}/new/{name}"):
+                    folders.move(f"{stage}/new/{name}/{file}", f"{target}/{file}")
+                    undo.append((f"{target}/{file}", f"{stage}/new/{name}/{file}"))
+    except Exception as error:
+        for source, target in reversed(undo):
+            folders.move(source, target)
+        raise LoadError(name, error) from error
+
+
+def staged_load(tables: Mapping[str, DataFrame], out: str, truncate: bool) -> list[tuple]:
+    """Write all tables beside the visible ones, parents first, then swap them in.
+
+    Returns (table, started, finished, rows) of each. Every table is read once;
+    its rows are counted while they are written. If a table fails, what is
+    visible stays as it was.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folders, stage = Folders(spark, out), f"{out}/_load-{uuid.uuid4().hex}"
+    done = []
+    try:
+        for name in in_load_order(tables):
+            started = datetime.now()
+            try:
+                n = write_staged(tables[name], f"{stage}/new/{name}")
+            except Exception as error:
+                raise LoadError(name, error) from error
+            done.append((name, started, datetime.now(), n))
+        commit(folders, stage, out, [d[0] for d in done], truncate)
+    finally:
+        folders.delete(stage)
+    return done
+
+
 def load_all(tables: Mapping[str, DataFrame], out: str, truncate: bool = True) -> DataFrame:
-    """I-16: write the tables as parquet, parents first; row counts come from the written files."""
-    order = [t for t in LOAD_ORDER if t in tables] + [t for t in tables if t not in LOAD_ORDER]
-    counts = []
-    for name in order:
-        tables[name].write.mode("overwrite" if truncate else "append").parquet(f"{out}/{name}")
-        stored = tables[name].sparkSession.read.schema(tables[name].schema).parquet(f"{out}/{name}")
-        counts.append(stored.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count"))
-    result = counts[0]
-    for c in counts[1:]:
-        result = result.union(c)
-    return result
+    """I-16: load the tables as parquet, all or none; rows of this load for each table."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, n) for name, _, _, n in staged_load(tables, out, truncate)]
+    return spark.createDataFrame(rows, "table_name string, row_count bigint")
 
 
 LOG_SCHEMA = "table_name string, started_at timestamp, finished_at timestamp, row_count bigint, status string, error string"
@@ -220,17 +302,14 @@ def load_log(spark: SparkSession, path: str, entries: Sequence[tuple]) -> None:
 
 
 def load_with_log(tables: Mapping[str, DataFrame], out: str, log_path: str) -> None:
-    """I-16, I-17: load each table and log success or failure; a failure stops the load."""
-    from datetime import datetime
-
-    for name, df in tables.items():
-        started = datetime.now()
-        try:
-            count = load_all({name: df}, out).first()["row_count"]
-        except Exception as error:
-            load_log(df.sparkSession, log_path, [(name, started, datetime.now(), None, "FAILED", str(error))])
-            raise
-        load_log(df.sparkSession, log_path, [(name, started, datetime.now(), count, "SUCCESS", None)])
+    """I-16, I-17: load all tables or none and log the outcome; of a failed load, the table it failed at."""
+    spark, started = next(iter(tables.values())).sparkSession, datetime.now()
+    try:
+        done = staged_load(tables, out, truncate=True)
+    except LoadError as error:
+        load_log(spark, log_path, [(error.table, started, datetime.now(), None, "FAILED", str(error)[:4000])])
+        raise
+    load_log(spark, log_path, [(*d, "SUCCESS", None) for d in done])
 
 
 def table_profile(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from deliveryrisk.functions.materialize import ensure_checkpoint_dir
 
@@ -59,60 +62,87 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     ).trigger(availableNow=True).start().awaitTermination()
 
 
-def newest(rows: DataFrame) -> DataFrame:
-    """The row with the largest version of each order; versions of any comparable type."""
-    kept = rows.groupBy("order_id").agg(F.max_by(F.struct(*rows.columns), "version").alias("r"))
-    return kept.select(*[F.col(f"r.{c}").alias(c) for c in rows.columns])
+STATE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class LatestOrders:
-    """SS-2: keep the latest version of each order.
+class KeepLatest(StatefulProcessor):
+    """Keeps the row with the largest version of each key and passes on every new one.
 
-    Every micro batch writes its own latest rows to a folder named after the
-    batch, so a repeated batch overwrites itself and a batch costs its own
-    size. ``table`` merges the folders; ``compact`` writes the merged rows as a
-    new base, after which older folders are not read. A batch that is missing
-    between the others is an error.
+    Of rows with equal versions the first stays. With ``keep_ms`` a key that has
+    not changed for so long is forgotten.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, schema: StructType, version: str, keep_ms: int | None):
+        self.schema, self.at, self.keep_ms = schema, schema.fieldNames().index(version), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", self.schema, self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = plain(self.latest.get()[self.at]) if self.latest.exists() else None
+        best = None
+        for row in rows:
+            if newest is None or plain(row[self.at]) > newest:
+                best, newest = row, plain(row[self.at])
+        if best is not None:
+            self.latest.update(tuple(plain(v) for v in best))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+def plain(value):
+    """A struct as a tuple, so that versions of several parts are compared part by part."""
+    if isinstance(value, dict):
+        return tuple(value.values())
+    return tuple(value) if isinstance(value, (tuple, list)) else value
 
-    def write(self, batch: DataFrame, number: int) -> None:
-        newest(batch).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
-    def finished(self, kind: str) -> list[int]:
-        """Numbers of the completely written folders of a kind."""
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}=*/_SUCCESS")
-        system = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in system.globStatus(pattern) or [])
+class LatestOrders:
+    """SS-2: keep the latest version of each order in keyed state.
+
+    A batch reads and writes the state of its own orders only, whatever came
+    before. ``table`` reads the state as it stands, one row an order; no batch is
+    kept and none is merged. The state lives below the checkpoint folder of the
+    query, in RocksDB, and a query started again there goes on from it.
+    """
+
+    def __init__(self, spark: SparkSession, checkpoint: str, schema: str, keep_ms: int | None = None):
+        self.spark, self.checkpoint, self.keep_ms = spark, checkpoint, keep_ms
+        self.schema = StructType.fromDDL(schema)
 
     def table(self) -> DataFrame:
-        base = max(self.finished("base"), default=-1)
-        batches = [n for n in self.finished("batch") if n > base]
-        if base < 0 and not batches:
-            raise ValueError("the stream held no batch")
-        if batches != list(range(base + 1, base + 1 + len(batches))):
-            raise ValueError(f"batches are missing below {self.path}: found {batches} after base {base}")
-        folders = [f"{self.path}/batch={n}" for n in batches] + [f"{self.path}/base={base}"] * (base >= 0)
-        return newest(self.spark.read.schema(self.schema).parquet(*folders))
-
-    def compact(self) -> None:
-        """Fold all finished batches into a new base."""
-        last = max(self.finished("batch"), default=-1)
-        if last > max(self.finished("base"), default=-1):
-            self.table().write.mode("overwrite").parquet(f"{self.path}/base={last}")
-
-    def run(self, changes: DataFrame, checkpoint: str, late: str = "2 hours") -> DataFrame:
+        """The latest version of every order that the state holds."""
+        state = (
+            self.spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "latest").load(self.checkpoint)
+        )
+        return state.select(*[F.col("value")[c].alias(c) for c in self.schema.fieldNames()])
+
+    def run(self, changes: DataFrame, late: str = "2 hours") -> DataFrame:
         """Drain the stream and return the latest versions; repeated change ids are dropped."""
-        query = (
-            changes.withWatermark("ts", late)
-            .dropDuplicatesWithinWatermark(["change_id"])
-            .drop("ts")
-            .writeStream.foreachBatch(self.write)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
+        rows = changes.withWatermark("ts", late).dropDuplicatesWithinWatermark(["change_id"])
+        latest = rows.select(*self.schema.fieldNames()).groupBy("order_id").transformWithState(
+            statefulProcessor=KeepLatest(self.schema, "version", self.keep_ms),
+            outputStructType=self.schema,
+            outputMode="Append",
+            timeMode="None" if self.keep_ms is None else "ProcessingTime",
         )
-        query.awaitTermination()
+        before = self.spark.conf.get(STATE_SETTING, None)
+        self.spark.conf.set(STATE_SETTING, ROCKSDB)
+        try:
+            query = (
+                latest.writeStream.format("noop")
+                .option("checkpointLocation", self.checkpoint)
+                .outputMode("append")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
+        finally:
+            if before is None:
+                self.spark.conf.unset(STATE_SETTING)
+            else:
+                self.spark.conf.set(STATE_SETTING, before)
         return self.table()

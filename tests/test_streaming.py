@@ -3,8 +3,6 @@
 import datetime as dt
 import os
 
-import pytest
-
 from deliveryrisk.streaming import jobs
 
 SCHEMA = "event_id bigint, ts timestamp, event_type string"
@@ -39,29 +37,34 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert 12 not in got
 
 
+ORDERS = "order_id bigint, order_amount double, change_id bigint, version bigint"
+
+
+def changes_from(spark, folder):
+    return spark.readStream.schema(f"{ORDERS}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def test_latest_version_wins(spark, tmp_path):
-    schema = "order_id bigint, order_amount double, change_id bigint, version bigint, ts timestamp"
-    folder = str(tmp_path / "in")
+    schema, folder = f"{ORDERS}, ts timestamp", str(tmp_path / "in")
     write(spark, [(1, 1.0, 1, 1, at(0)), (1, 3.0, 2, 3, at(1)), (2, 5.0, 3, 1, at(1))], folder, schema)
     write(spark, [(1, 2.0, 4, 2, at(1)), (2, 6.0, 5, 2, at(2)), (2, 9.0, 3, 9, at(1))], folder, schema)
-    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    latest = jobs.LatestOrders(spark, str(tmp_path / "orders"), "order_id bigint, order_amount double, change_id bigint, version bigint")
-    got = {r["order_id"]: r["order_amount"] for r in latest.run(changes, str(tmp_path / "state")).collect()}
+    latest = jobs.LatestOrders(spark, str(tmp_path / "state"), ORDERS)
+    got = {r["order_id"]: r["order_amount"] for r in latest.run(changes_from(spark, folder)).collect()}
     # Version 2 of order 1 is older than the stored version 3; change 3 came before.
     assert got == {1: 3.0, 2: 6.0}
-    again = jobs.LatestOrders(spark, latest.path, latest.schema)
-    assert {r["order_id"]: r["order_amount"] for r in again.run(changes, str(tmp_path / "state")).collect()} == got
-    again.compact()
-    write(spark, [(3, 7.0, 6, 1, at(3))], folder, schema)
-    assert {r["order_id"]: r["order_amount"] for r in again.run(changes, str(tmp_path / "state")).collect()} == got | {3: 7.0}
-
-
-def test_a_lost_batch_is_an_error(spark, tmp_path):
-    schema = "order_id bigint, order_amount double, version bigint"
-    latest = jobs.LatestOrders(spark, str(tmp_path), schema)
-    for number in (0, 2):
-        latest.write(spark.createDataFrame([(number, 1.0, 1)], schema), number)
-    with pytest.raises(ValueError, match="missing"):
-        latest.table()
-    with pytest.raises(ValueError, match="no batch"):
-        jobs.LatestOrders(spark, str(tmp_path / "none"), schema).table()
+    again = jobs.LatestOrders(spark, str(tmp_path / "state"), ORDERS)
+    assert {r["order_id"]: r["order_amount"] for r in again.run(changes_from(spark, folder)).collect()} == got
+    # Started again: a new order, and an equal version, which does not replace the first.
+    write(spark, [(3, 7.0, 6, 1, at(3)), (2, 8.0, 7, 2, at(3))], folder, schema)
+    assert {r["order_id"]: r["order_amount"] for r in again.run(changes_from(spark, folder)).collect()} == got | {3: 7.0}
+    assert spark.conf.get(jobs.STATE_SETTING, None) != jobs.ROCKSDB
+
+
+def test_state_holds_one_row_an_order(spark, tmp_path):
+    """Many batches: the state has no history, and a batch does not rewrite orders of others."""
+    schema, folder = f"{ORDERS}, ts timestamp", str(tmp_path / "in")
+    latest = jobs.LatestOrders(spark, str(tmp_path / "state"), ORDERS)
+    for n in range(3):
+        write(spark, [(o, float(n), 10 * n + o, n, at(n)) for o in range(5)] + [(100 + n, 1.0, 1000 + n, 0, at(n))], folder, schema)
+    rows = latest.run(changes_from(spark, folder)).collect()
+    assert sorted((r["order_id"], r["order_amount"]) for r in rows) == [(o, 2.0) for o in range(5)] + [(100, 1.0), (101, 1.0), (102, 1.0)]
