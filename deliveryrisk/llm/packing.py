@@ -14,9 +14,10 @@ A range's last tokens form sequences of powers of two, which need no padding.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,24 @@ SEPARATOR = 0
 DIMENSIONS = 4
 BITS = 15
 TOKENIZER = "byte_bpe_50k.tiktoken"
+NAMED = "byte_bpe_50k.json"
+# Texts with so much white space in a row go to the named tokenizer.
+LONG_BLANK = 1000
 
 
 def tokenizer_path() -> str:
-    """The vocabulary of byte_bpe_50k.json as ranks; its ids are the same and come four times as fast."""
+    """The vocabulary of byte_bpe_50k.json as ranks, by which most texts are encoded four times as fast."""
     import public_tokenizers
 
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def named_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(NAMED))
+
+
 def sign_table() -> np.ndarray:
     """For every byte pair a fixed random bit in each dimension, two dimensions to a 64-bit number."""
     at = mix(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
@@ -107,14 +117,31 @@ def keyed(texts: pa.Array) -> pa.Array:
     return pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
 
 
-def encoder(path: str):
-    """Encoder of a byte-level vocabulary file; special tokens' strings are ordinary text."""
+def encoder(path: str, named: str) -> Callable[[str], Sequence[int]]:
+    """Function from a text to its ids in the tokenizer file ``named``.
+
+    Ids come from the rank file ``path`` of the same vocabulary, but for texts in
+    which the two differ: those that hold an added token of the file, which it
+    matches in plain text too, and those with long white space, on which the
+    faster library runs out of stack.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    exact = Tokenizer.from_file(named)
+    added = [token.content for token in exact.get_added_tokens_decoder().values()]
+    blank = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+    def encode(text: str) -> Sequence[int]:
+        if any(token in text for token in added) or blank.search(text):
+            return exact.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return encode
 
 
 def tail_lengths(n: int) -> list[int]:
@@ -122,7 +149,7 @@ def tail_lengths(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_range(path: str, length: int = LENGTH):
+def pack_range(path: str, named: str, length: int = LENGTH):
     """Task function: pieces of the texts of one range, in order.
 
     Full sequences are written as they fill. The last, partial one is held back
@@ -133,7 +160,7 @@ def pack_range(path: str, length: int = LENGTH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path, named)
         sequence, filled = TaskContext.get().partitionId() << 40, 0
         held: list[tuple] = []  # pieces of the sequence that is being filled, with their ids
         end = np.array([SEPARATOR], dtype="<u4").tobytes()
@@ -184,7 +211,9 @@ def pack_range(path: str, length: int = LENGTH):
     return run
 
 
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, named: str | None = None
+) -> DataFrame:
     """Pieces of texts in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text counts as empty and has its separator only. Repeated rows and
@@ -203,7 +232,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return sorted_rows.mapInArrow(pack_range(path or tokenizer_path()), schema)
+    return sorted_rows.mapInArrow(pack_range(path or tokenizer_path(), named or named_tokenizer_path()), schema)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
