@@ -118,17 +118,17 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows that may be repeated are reduced by their digest with the smallest id;
     among rows of one id any one stays, as they differ in other columns only.
     """
-    sha, first, row = free_name(docs, "sha_"), free_name(docs, "first_"), free_name(docs, "row_")
+    sha = free_name(docs, "sha_")
     digests = stored(docs.select(digest(F.col(text)).alias("sha")))
     bits = filter_bits(digests.count())
     filled = repeated_slots(digests, "sha", bits)
-    rows = docs.withColumns({sha: digest(F.col(text)), row: F.monotonically_increasing_id()})
-    tested = rows.where(~may_repeat(F.col(sha), bits, filled))
+    rows = docs.withColumn(sha, digest(F.col(text)))
+    alone = rows.where(~may_repeat(F.col(sha), bits, filled))
     rest = rows.where(may_repeat(F.col(sha), bits, filled))
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
-    firsts = rest.groupBy(sha).agg(F.min(order).alias(first))
-    kept = rest.join(firsts, sha).where(F.col(row) == F.col(first)["row"])
-    return tested.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    # whole rows are reduced, in each task first, so no later scan has to find a row again
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
+    kept = rest.groupBy(sha).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return alone.select(*docs.columns).unionByName(kept.select("row.*"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
