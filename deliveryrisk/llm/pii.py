@@ -89,6 +89,9 @@ class Kind:
 
 
 WINDOW = 40
+# Matches (of two characters at least) that a window can hold, and how many are summed at a time.
+PAIRS = WINDOW // 2
+CHUNK = 256
 # Base kinds in the order in which results list them.
 BASE = (
     Kind(
@@ -154,41 +157,60 @@ KINDS = BASE + MORE
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
 
-def spans(text: Column, kind: Kind) -> Column:
-    """Confirmed spans of one kind in a text, by position."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(
-        F.slice(between, 1, F.size(found)),
-        found,
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("n"), hit.alias("text")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<kind:string,start:int,end:int,text:string>>)").alias("all"))
+def ends(x: Column) -> Column:
+    """The first and last ``WINDOW`` characters of a longer piece."""
+    return F.when(F.length(x) > 2 * WINDOW, F.concat(F.left(x, F.lit(WINDOW)), F.right(x, F.lit(WINDOW)))).otherwise(x)
+
+
+def chunk_sums(lengths: Column) -> Column:
+    """Starts and ends of matches, counted from the start of their chunk of ``CHUNK`` matches, and its total length."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("all"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
-        span = F.struct(
-            F.lit(kind.name).alias("kind"), begin.alias("start"), (begin + x["n"]).alias("end"), x["text"].alias("text")
-        )
+        span = F.struct(begin.alias("start"), (begin + x["n"]).alias("end"))
         return F.struct((begin + x["n"]).alias("at"), F.concat(acc["all"], F.array(span)).alias("all"))
 
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["all"])
-    if kind.confirmed:
-        placed = F.filter(placed, lambda s: kind.confirmed(s["text"]))
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(lengths) - 1, F.lit(0)) / CHUNK).cast("int"))
+    return F.transform(numbers, lambda k: F.aggregate(F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)), start, step))
+
+
+def placed(local: Column, found: Column) -> Column:
+    """Start, end, number and text of every match: the chunks' starts, moved by the totals of the chunks before."""
+    offsets = F.aggregate(
+        local,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")),
+        lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        lambda acc: acc["all"],
+    )
+    moved = F.zip_with(
+        local,
+        offsets,
+        lambda c, o: F.transform(c["all"], lambda s: F.struct((s["start"] + o).alias("start"), (s["end"] + o).alias("end"))),
+    )
+    numbered = F.transform(F.flatten(moved), lambda s, i: F.struct(s["start"], s["end"], i.alias("i")))
+    return F.zip_with(numbered, found, lambda s, hit: F.struct(s["start"], s["end"], s["i"], hit.alias("text")))
+
+
+def scored(hits: Column, pairs: Column, between: Column, kind: Kind) -> Column:
+    """Findings of confirmed matches, scored by the words near them.
+
+    What stands near is put together from the neighbouring gaps and matches
+    (``pairs``, each cut to its ends); a match has at least two characters, so
+    ``PAIRS`` of them and their gaps fill the window.
+    """
 
     def near(s: Column) -> Column:
-        begin = F.greatest(s["start"] - WINDOW, F.lit(0))
-        before = F.substring(text, begin + 1, s["start"] - begin)
-        after = F.substring(text, s["end"] + 1, F.lit(WINDOW))
-        return F.lower(F.concat(before, F.lit(" "), after)).rlike(kind.words)
+        begin = F.greatest(s["i"] - PAIRS, F.lit(0))
+        before = F.concat(F.array_join(F.slice(pairs, begin + 1, s["i"] - begin), ""), ends(F.element_at(between, s["i"] + 1)))
+        after = F.array_join(F.slice(pairs, s["i"] + 2, F.lit(PAIRS + 1)), "")
+        return F.lower(F.concat(F.right(before, F.lit(WINDOW)), F.lit(" "), F.left(after, F.lit(WINDOW)))).rlike(kind.words)
 
-    def scored(s: Column) -> Column:
+    def one(s: Column) -> Column:
         score = F.lit(kind.score) + F.when(near(s), kind.near).otherwise(0.0)
-        return F.struct(s["kind"], s["start"], s["end"], s["text"], score.alias("score"))
+        return F.struct(F.lit(kind.name).alias("kind"), s["start"], s["end"], s["text"], score.alias("score"))
 
-    all_spans = F.filter(F.transform(placed, scored), lambda s: s["score"] >= kind.least)
-    none = F.expr(f"cast(array() as {SPAN})")
-    return F.when(text.rlike(kind.hint), all_spans.cast(SPAN)).otherwise(none)
+    return F.filter(F.transform(hits, one), lambda s: s["score"] >= kind.least).cast(SPAN)
 
 
 def find(docs: DataFrame, text: str = "text", out: str = "findings", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -197,11 +219,43 @@ def find(docs: DataFrame, text: str = "text", out: str = "findings", kinds: tupl
     Rows are handled one by one, without a shuffle, so nulls in other columns,
     ties and repeated rows change nothing. A null or empty text has no findings.
     Spans are in code points, the end exclusive, ordered by kind as listed and
-    then by start. A column named ``out`` is replaced.
+    then by start. A column named ``out`` is replaced. Arrays are worked out once
+    a row in columns of their own, as later steps use them for every match; time
+    grows with a text's length.
     """
     whole = free_name(docs, "text_")
-    base = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
-    return base.withColumn(out, F.concat(*[spans(F.col(whole), k) for k in kinds])).drop(whole)
+    held = {(k.name, part): free_name(docs, f"{k.name}_{part}_") for k in kinds for part in ("found", "between", "lengths", "local", "hits", "pairs")}
+
+    def col(k: Kind, part: str) -> Column:
+        return F.col(held[k.name, part])
+
+    def add(df: DataFrame, part: str, value: Callable[[Kind], Column]) -> DataFrame:
+        return df.withColumns({held[k.name, part]: value(k) for k in kinds})
+
+    def lengths(k: Kind) -> Column:
+        gaps = F.slice(col(k, "between"), F.lit(1), F.size(col(k, "found")))
+        return F.zip_with(gaps, col(k, "found"), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("n")))
+
+    def hits(k: Kind) -> Column:
+        every = placed(col(k, "local"), col(k, "found"))
+        return F.filter(every, lambda s: k.confirmed(s["text"])) if k.confirmed else every
+
+    def pairs(k: Kind) -> Column:
+        return F.zip_with(
+            col(k, "between"), col(k, "found"), lambda gap, hit: F.concat(ends(gap), F.coalesce(ends(hit), F.lit("")))
+        )
+
+    t = F.col(whole)
+    none = F.expr("cast(array() as array<string>)")
+    rows = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    rows = add(rows, "found", lambda k: F.when(t.rlike(k.hint), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none))
+    rows = add(rows, "between", lambda k: F.when(F.size(col(k, "found")) > 0, F.split(t, k.pattern, -1)).otherwise(none))
+    rows = add(rows, "lengths", lengths)
+    rows = add(rows, "local", lambda k: chunk_sums(col(k, "lengths")))
+    rows = add(rows, "hits", hits)
+    rows = add(rows, "pairs", pairs)
+    found = [scored(col(k, "hits"), col(k, "pairs"), col(k, "between"), k) for k in kinds]
+    return rows.withColumn(out, F.concat(*found)).drop(whole, *held.values())
 
 
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:

@@ -110,6 +110,38 @@ def test_personal_data(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def brute_near(text, start, end, words):
+    import re
+
+    return bool(re.search(words, (text[max(0, start - 40) : start] + " " + text[end : end + 40]).lower()))
+
+
+def test_scores_of_nearby_words(spark):
+    """Scores from pieces equal those from the text itself, also where many matches stand close together."""
+    rng = np.random.default_rng(8)
+    words = ["call", "a@b.co", "12", "1.2.3.4", "+1 (555) 010-9999", "x" * 39, "é", "server", "mail", "4111111111111111", "\n", "9", " ", "ip", "visa", "z" * 90]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", "  "]) for _ in range(60)) for _ in range(60)] + ["a@b.co" * 30, "12 " * 300 + "visa 4111111111111111"]
+    kinds = {k.name: k for k in pii.BASE}
+    for r in pii.find(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        mine = [s for s in r.findings if s.kind in kinds]
+        assert [(s.kind, s.start, s.end) for s in mine] == brute.base_spans(r.text)
+        for s in mine:
+            k = kinds[s.kind]
+            want = k.score + (k.near if brute_near(r.text, s.start, s.end, k.words) else 0.0)
+            assert s.score == pytest.approx(want), (s, r.text)
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the text, not with its square."""
+    import time
+
+    n = 40_000
+    df = spark.createDataFrame([("a@b.co " * n,)], "text string")
+    began = time.time()
+    row = pii.find(df, kinds=pii.BASE[:1]).select(F.size("findings").alias("n"), F.col("findings")[n - 1]["start"].alias("s")).first()
+    assert (row.n, row.s) == (n, 7 * (n - 1)) and time.time() - began < 60
+
+
 def test_personal_data_of_whole_table(spark, real):
     import hashlib
 
@@ -264,7 +296,6 @@ def pieces_by_row(got, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
     want = []
     lengths = {(r.doc_id, r.start, r.length) for r in got}
     for i, t in rows:
@@ -293,6 +324,19 @@ def test_packing(spark, docs, empty, real):
     assert packing.pack(empty).count() == 0
 
 
+def test_ids_of_the_named_tokenizer():
+    """Added tokens in plain text, and long runs, on which the faster library fails."""
+    from tokenizers import Tokenizer
+
+    named = Tokenizer.from_file(packing.named_tokenizer_path())
+    encode = packing.encoder(packing.tokenizer_path(), packing.named_tokenizer_path())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endof text|>", " " * 1_000_000, "\n" * 1_000_000, "a" * 3000,
+             "x" + "\u3000" * 5000 + "y", " \n" * 700 + "z", "1" * 3000, "!?" * 1500, "é " * 3000, " " * 999 + "a"]
+    for t in texts:
+        assert list(encode(t)) == named.encode(t, add_special_tokens=False).ids, t[:20]
+    assert list(encode(texts[0])) == [31373, 220, 50256, 995]
+
+
 def test_curve_visits_neighbours():
     cells = np.array([[x, y] for x in range(16) for y in range(16)])
     order = np.argsort(packing.hilbert_keys(cells, 4))
@@ -325,7 +369,7 @@ def test_schedule_spreads_sources(spark):
         assert 56 <= sum(r.source == "a" for r in rows[lo : lo + 100]) <= 64
 
 
-@pytest.mark.parametrize("kind", ["near", "mix", "score"])
+@pytest.mark.parametrize("kind", ["near", "mix", "score", "exact"])
 def test_rows_read_in_other_pieces(spark, tmp_path, kind):
     """Later scans may cut the input differently than the scan that numbered its rows."""
     rows = [(i, " ".join(f"t{i}w{k}" for k in range(40 + i % 7)) if i % 3 else NEAR, f"s{i % 4}") for i in range(60)]
@@ -352,6 +396,11 @@ def test_rows_read_in_other_pieces(spark, tmp_path, kind):
     if kind == "near":
         want = sorted({(i, t, s) for i, t, s in rows if i % 3 or i == 0})
         assert all(got == want for got in read(lambda: near_copies.drop_near_copies(df)))
+    elif kind == "exact":
+        want = sorted({(i, t, s) for i, t, s in rows if i % 3 or i == 0})
+        assert all(got == want for got in read(lambda: exact_dedup.drop_copies(df)))
+        plan = exact_dedup.drop_copies(df)._jdf.queryExecution().toString()
+        assert "monotonically_increasing_id" not in plan
     elif kind == "mix":
         for got in read(lambda: mixing.mix(df)):
             words = {}
