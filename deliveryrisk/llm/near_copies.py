@@ -1,10 +1,13 @@
 """N-gram Jaccard self-join by count vectors.
 
 A text's set holds its distinct word shingles. Shingles are hashed to
-``DIMENSIONS`` groups; the group counts are a point. Two sets share at most the
-sum of the smaller counts, so a pair (or a pair of a point and a tree node,
-taken with the node's largest counts) whose sum is below the needed overlap is
-pruned. Surviving pairs are verified on whole texts.
+``GROUPS`` groups; the group counts are a point, written as the sorted group
+numbers. Two sets share at most the sum of the smaller counts, so a pair whose
+sum is below the needed overlap is pruned. For trees the groups are folded to
+``DIMENSIONS``; a pair of a point and a tree node is pruned alike, by the node's
+largest counts. Pairs that a tree leaves are bounded once more by all groups, so
+sets just below the threshold go there too. Surviving pairs are verified on
+whole texts.
 
 Distribution. In one tree over all points, counts concentrate and high nodes
 prune nothing. Points are therefore first dealt to cells: shingles are also
@@ -33,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deliveryrisk.llm.common import find_words, free_name, mix, sliced_texts, stored, table
+from deliveryrisk.llm.common import discard, find_words, free_name, mix, sliced_texts, stored, table
 from deliveryrisk.llm.exact_dedup import bit_blocks, filter_bits, in_blocks
 from deliveryrisk.llm.graph import components
 
+GROUPS = 1 << 14
 DIMENSIONS = 256
-MOST_COUNT = 65535
+CHECKED = 2048
 GROWTH = 1.5
 SPARE_SHARE = 0.15
 BLOCK = 512
@@ -156,6 +160,43 @@ def prints_of(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one.view(np.int64), two.view(np.int64)
 
 
+def points_of(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Group numbers of every set, sorted, as steps from one to the next; 255 adds 255 and goes on."""
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    at = np.sort(owner * GROUPS + (sets >> np.uint64(64 - 14)).astype(np.int64))
+    group = at % GROUPS
+    first = np.cumsum(sizes) - sizes
+    step = np.diff(group, prepend=0)
+    step[first[sizes > 0]] = group[first[sizes > 0]]
+    more = step // 255
+    end = np.cumsum(more + 1)
+    out = np.full(int(end[-1]) if end.size else 0, 255, dtype=np.uint8)
+    out[end - 1] = step % 255
+    edge = np.concatenate(([0], end))[np.concatenate(([0], np.cumsum(sizes)))]
+    whole = out.tobytes()
+    return [whole[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def groups_in(points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Group numbers of points, point by point, and how many each has."""
+    steps = np.frombuffer(b"".join(points), dtype=np.uint8)
+    lengths = np.fromiter((len(p) for p in points), dtype=np.int64, count=len(points))
+    owner = np.repeat(np.arange(len(points)), lengths)
+    total = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+    begin = np.cumsum(lengths) - lengths
+    stop = steps != 255
+    group = (total[1:] - total[begin][owner])[stop]
+    return group, np.bincount(owner[stop], minlength=len(points))
+
+
+def folded(group: np.ndarray, sizes: np.ndarray, dimensions: int) -> np.ndarray:
+    """Counts of points in fewer groups (rows x dimensions)."""
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    place = owner * dimensions + group * dimensions // GROUPS
+    counts = np.bincount(place, minlength=sizes.size * dimensions).reshape(sizes.size, dimensions)
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.int64)
+
+
 def describe(width: int, percent: int):
     """Task function: set size, fingerprint, point and cells of every text.
 
@@ -177,12 +218,7 @@ def describe(width: int, percent: int):
                 kept = np.repeat(fresh, sizes)
                 some = np.where(fresh, sizes, 0)
                 keys, n_keys = cells_of(sets[kept], some, percent)
-                owner = np.repeat(np.arange(hi - lo), sizes)
-                place = owner * DIMENSIONS + (sets >> np.uint64(56)).astype(np.int64)
-                point = np.bincount(place, minlength=(hi - lo) * DIMENSIONS).reshape(hi - lo, DIMENSIONS)
-                # a count beyond the type would lower the bound: such a point bounds nothing
-                point[point.max(axis=1) > MOST_COUNT] = MOST_COUNT
-                point = point.astype("<u2")
+                point = points_of(sets, sizes)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(n_keys))).astype(np.int32))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -194,7 +230,7 @@ def describe(width: int, percent: int):
                         "first_": pa.array(first, pa.int64()),
                         "even": pa.array(even),
                         "odd": pa.array(odd),
-                        "point": pa.array([p.tobytes() if f else None for p, f in zip(point, fresh, strict=True)], pa.binary()),
+                        "point": pa.array([p if f else None for p, f in zip(point, fresh, strict=True)], pa.binary()),
                         "cells": pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64))),
                     }
                 )
@@ -259,24 +295,48 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def points_in(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, DIMENSIONS)
+def fine_pairs(
+    i: np.ndarray, j: np.ndarray, group: np.ndarray, sizes: np.ndarray, percent: int
+) -> np.ndarray:
+    """Which pairs (rows i and j of one table of points) all groups allow."""
+    begin = np.cumsum(sizes) - sizes
+    # how often the same group came before in its point
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    key = owner * GROUPS + group
+    again = np.arange(key.size) - np.maximum.accumulate(np.where(np.diff(key, prepend=-1) != 0, np.arange(key.size), 0))
+    order = np.argsort(i, kind="stable")
+    keep = np.zeros(i.size, dtype=bool)
+    edges = np.flatnonzero(np.diff(i[order], prepend=-1, append=-1))
+    counts = np.zeros(GROUPS, dtype=np.int64)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        some, q = order[lo:hi], int(i[order[lo]])
+        own = group[begin[q] : begin[q] + sizes[q]]
+        counts[:] = np.bincount(own, minlength=GROUPS)
+        for part in np.array_split(some, some.size // 1024 + 1):
+            n = sizes[j[part]]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[j[part]], n)
+            shared = np.bincount(np.repeat(np.arange(part.size), n), again[at] < counts[group[at]], minlength=part.size)
+            keep[part] = shared >= needed(sizes[q] + n, percent)
+    return keep
 
 
 def search_blocks(percent: int):
-    """Task function: pairs of one cell block that pass the bound and lie in different components."""
+    """Task function: pairs of one cell block that all bounds allow and that lie in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, ["cell", "qb", "bb"]):
             side = rows.column("side").to_numpy()
             ids, label = rows.column("row_").to_numpy(), rows.column("label").to_numpy()
-            sizes, points = rows.column("n").to_numpy(), points_in(rows.column("point"))
+            group, sizes = groups_in(rows.column("point").to_pylist())
+            points = folded(group, sizes, DIMENSIONS)
             q, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if q.size and b.size:
                 i, j = Tree(points[b], sizes[b]).search(points[q], sizes[q], percent)
                 i, j = q[i], b[j]
                 apart = label[i] != label[j]
-                i, j = ids[i[apart]], ids[j[apart]]
+                i, j = i[apart], j[apart]
+                keep = fine_pairs(i, j, group, sizes, percent)
+                i, j = ids[i[keep]], ids[j[keep]]
                 if i.size:
                     yield pa.RecordBatch.from_pydict({"a": np.maximum(i, j), "b": np.minimum(i, j)})
 
@@ -286,13 +346,13 @@ def search_blocks(percent: int):
 def within_bound(percent: int):
     """Whether the points of two sets allow a link."""
 
-    def run(pa_: pa.Array, pb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        total = na.to_numpy() + nb.to_numpy()
+    def run(pa_: pa.Array, pb: pa.Array) -> pa.Array:
         keep = []
         a, b = pa_.to_pylist(), pb.to_pylist()
-        for lo in range(0, len(a), 4096):
-            x, y = (np.frombuffer(b"".join(v[lo : lo + 4096]), dtype="<u2").reshape(-1, DIMENSIONS) for v in (a, b))
-            keep.append(np.minimum(x, y).sum(axis=1, dtype=np.int64) >= needed(total[lo : lo + 4096], percent))
+        for lo in range(0, len(a), 1024):
+            (x, nx), (y, ny) = (groups_in(v[lo : lo + 1024]) for v in (a, b))
+            shared = np.minimum(folded(x, nx, CHECKED), folded(y, ny, CHECKED)).sum(axis=1, dtype=np.int64)
+            keep.append(shared >= needed(nx + ny, percent))
         return pa.array(np.concatenate(keep) if keep else np.zeros(0, bool), pa.bool_())
 
     return F.arrow_udf(run, "boolean")
@@ -357,7 +417,7 @@ def bounded(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     b = points.withColumnsRenamed({"row_": "b", "n": "nb", "point": "pb"})
     both = pairs.join(a, "a").join(b, "b")
     sized = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    return sized.where(within_bound(percent)("pa", "pb", "na", "nb")).select("a", "b")
+    return sized.where(within_bound(percent)("pa", "pb")).select("a", "b")
 
 
 def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -376,8 +436,11 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     by_heat = Window.partitionBy("row_", odd).orderBy(F.desc("heat"), "cell")  # the cells of one set
     ranked = placed.join(heat, "cell").join(spare, "row_").withColumn("rank", F.row_number().over(by_heat))
     kept = stored(ranked.where(F.col("rank") > F.when(odd, F.col("odd")).otherwise(F.col("even"))).select("cell", "row_"))
+    whole, described = described, stored(described.drop("cells", "even", "odd"))
+    discard(whole)
     hubs = kept.groupBy("cell").agg(F.min("row_").alias("hub"), F.max("row_").alias("top")).where("hub <> top")
     members = stored(kept.join(hubs.drop("top"), "cell"))
+    discard(kept)
     texts = texts_of_rows(members.select("row_").distinct(), described, docs.select("doc_id", "text"), width)
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -396,6 +459,7 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labelled = stored(
         members.join(node, "row_", "left").select("cell", "row_", F.coalesce("label", "row_").alias("label"))
     )
+    discard(members)
     mixed = labelled.groupBy("cell").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("cell")
     counts = labelled.join(mixed, "cell").groupBy("cell", "label").agg(F.count(F.lit(1)).alias("c"))
     facts = counts.groupBy("cell").agg(
