@@ -257,7 +257,9 @@ def test_failed_load_is_logged(spark, tmp_path):
     with pytest.raises(Exception):
         I.load_with_log({"good": good, "bad": bad}, str(tmp_path / "out"), str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
-    assert sorted(values(log, "table_name", "status")) == [("bad", "FAILED"), ("good", "SUCCESS")]
+    # a load is visible as a whole or not at all
+    assert sorted(values(log, "table_name", "status")) == [("bad", "FAILED")]
+    assert not (tmp_path / "out" / "good").exists()
 
 
 def test_orders_without_keys_belong_to_nobody(spark):
