@@ -177,24 +177,30 @@ def points_of(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [whole[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
-def groups_in(points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Group numbers of points, point by point, and how many each has."""
-    steps = np.frombuffer(b"".join(points), dtype=np.uint8)
-    lengths = np.fromiter((len(p) for p in points), dtype=np.int64, count=len(points))
-    owner = np.repeat(np.arange(len(points)), lengths)
-    total = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
-    begin = np.cumsum(lengths) - lengths
-    stop = steps != 255
-    group = (total[1:] - total[begin][owner])[stop]
-    return group, np.bincount(owner[stop], minlength=len(points))
-
-
-def folded(group: np.ndarray, sizes: np.ndarray, dimensions: int) -> np.ndarray:
-    """Counts of points in fewer groups (rows x dimensions)."""
-    owner = np.repeat(np.arange(sizes.size), sizes)
-    place = owner * dimensions + group * dimensions // GROUPS
-    counts = np.bincount(place, minlength=sizes.size * dimensions).reshape(sizes.size, dimensions)
-    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.int64)
+def groups_in(points: list[bytes]) -> list[np.ndarray]:
+    """Sorted group numbers of each point."""
+    out = []
+    for p in points:
+        steps = np.frombuffer(p, dtype=np.uint8)
+        out.append(np.cumsum(steps, dtype=np.int32)[steps != 255].astype(np.uint16))
+    return out
+
+
+def folded(groups: list[np.ndarray], dimensions: int) -> np.ndarray:
+    """Counts of points in fewer groups (points x dimensions)."""
+    most = max((g.size for g in groups), default=0)
+    counts = np.zeros((len(groups), dimensions), dtype=np.uint16 if most < 1 << 16 else np.int64)
+    width = GROUPS // dimensions
+    for row, g in enumerate(groups):
+        counts[row] = np.bincount(g // width, minlength=dimensions)
+    return counts
+
+
+def repeats(group: np.ndarray) -> np.ndarray:
+    """How often each number of a sorted list came before."""
+    at = np.arange(group.size)
+    fresh = np.concatenate(([True], group[1:] != group[:-1])) if group.size else np.zeros(0, dtype=bool)
+    return (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.int32)
 
 
 def describe(width: int, percent: int):
@@ -295,28 +301,20 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def fine_pairs(
-    i: np.ndarray, j: np.ndarray, group: np.ndarray, sizes: np.ndarray, percent: int
-) -> np.ndarray:
-    """Which pairs (rows i and j of one table of points) all groups allow."""
-    begin = np.cumsum(sizes) - sizes
-    # how often the same group came before in its point
-    owner = np.repeat(np.arange(sizes.size), sizes)
-    key = owner * GROUPS + group
-    again = np.arange(key.size) - np.maximum.accumulate(np.where(np.diff(key, prepend=-1) != 0, np.arange(key.size), 0))
+def fine_pairs(i: np.ndarray, j: np.ndarray, groups: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs (i and j number points) all groups allow."""
+    sizes = np.array([g.size for g in groups], dtype=np.int64)
     order = np.argsort(i, kind="stable")
     keep = np.zeros(i.size, dtype=bool)
     edges = np.flatnonzero(np.diff(i[order], prepend=-1, append=-1))
-    counts = np.zeros(GROUPS, dtype=np.int64)
+    again = {k: repeats(groups[k]) for k in np.unique(j).tolist()}
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        some, q = order[lo:hi], int(i[order[lo]])
-        own = group[begin[q] : begin[q] + sizes[q]]
-        counts[:] = np.bincount(own, minlength=GROUPS)
-        for part in np.array_split(some, some.size // 1024 + 1):
-            n = sizes[j[part]]
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[j[part]], n)
-            shared = np.bincount(np.repeat(np.arange(part.size), n), again[at] < counts[group[at]], minlength=part.size)
-            keep[part] = shared >= needed(sizes[q] + n, percent)
+        q = int(i[order[lo]])
+        counts = np.bincount(groups[q], minlength=GROUPS)
+        for part in order[lo:hi].tolist():
+            other = int(j[part])
+            shared = np.count_nonzero(again[other] < counts[groups[other]])
+            keep[part] = shared >= needed(sizes[q] + sizes[other], percent)
     return keep
 
 
@@ -327,15 +325,15 @@ def search_blocks(percent: int):
         for rows in groups_of(batches, ["cell", "qb", "bb"]):
             side = rows.column("side").to_numpy()
             ids, label = rows.column("row_").to_numpy(), rows.column("label").to_numpy()
-            group, sizes = groups_in(rows.column("point").to_pylist())
-            points = folded(group, sizes, DIMENSIONS)
+            groups = groups_in(rows.column("point").to_pylist())
+            sizes, points = rows.column("n").to_numpy(), folded(groups, DIMENSIONS)
             q, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if q.size and b.size:
                 i, j = Tree(points[b], sizes[b]).search(points[q], sizes[q], percent)
                 i, j = q[i], b[j]
                 apart = label[i] != label[j]
                 i, j = i[apart], j[apart]
-                keep = fine_pairs(i, j, group, sizes, percent)
+                keep = fine_pairs(i, j, groups, percent)
                 i, j = ids[i[keep]], ids[j[keep]]
                 if i.size:
                     yield pa.RecordBatch.from_pydict({"a": np.maximum(i, j), "b": np.minimum(i, j)})
@@ -347,13 +345,13 @@ def within_bound(percent: int):
     """Whether the points of two sets allow a link."""
 
     def run(pa_: pa.Array, pb: pa.Array) -> pa.Array:
-        keep = []
-        a, b = pa_.to_pylist(), pb.to_pylist()
-        for lo in range(0, len(a), 1024):
-            (x, nx), (y, ny) = (groups_in(v[lo : lo + 1024]) for v in (a, b))
-            shared = np.minimum(folded(x, nx, CHECKED), folded(y, ny, CHECKED)).sum(axis=1, dtype=np.int64)
-            keep.append(shared >= needed(nx + ny, percent))
-        return pa.array(np.concatenate(keep) if keep else np.zeros(0, bool), pa.bool_())
+        keep = [np.zeros(0, dtype=bool)]
+        for lo in range(0, len(pa_), 256):
+            a, b = (groups_in(v.slice(lo, 256).to_pylist()) for v in (pa_, pb))
+            shared = np.minimum(folded(a, CHECKED), folded(b, CHECKED)).sum(axis=1, dtype=np.int64)
+            total = np.array([x.size + y.size for x, y in zip(a, b, strict=True)], dtype=np.int64)
+            keep.append(shared >= needed(total, percent))
+        return pa.array(np.concatenate(keep), pa.bool_())
 
     return F.arrow_udf(run, "boolean")
 
