@@ -369,27 +369,6 @@ def test_schedule_spreads_sources(spark):
         assert 56 <= sum(r.source == "a" for r in rows[lo : lo + 100]) <= 64
 
 
-def test_points_and_pairs():
-    """Points keep their group numbers, and pairs are bounded by the sum of the smaller counts."""
-    rng = np.random.default_rng(6)
-    sizes = np.array([0, 1, 3, 40, 900, 30_000, 0, 60, 60])
-    sets = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in sizes]
-    sets[8] = np.concatenate([sets[7][:55], sets[8][:5]])
-    points = near_copies.points_of(np.concatenate(sets), sizes)
-    group, n = near_copies.groups_in(points)
-    want = [np.sort((h >> np.uint64(50)).astype(np.int64)) for h in sets]
-    assert n.tolist() == sizes.tolist() and group.tolist() == np.concatenate(want).tolist()
-    dense = near_copies.folded(group, n, 256)
-    assert (dense == np.array([np.bincount(w * 256 // near_copies.GROUPS, minlength=256) for w in want])).all()
-    i, j = (a.ravel() for a in np.meshgrid(np.arange(9), np.arange(9)))
-    counts = np.array([np.bincount(w, minlength=near_copies.GROUPS) for w in want])
-    for percent in (50, 80):
-        shared = np.array([np.minimum(counts[a], counts[b]).sum() for a, b in zip(i, j, strict=True)])
-        keep = near_copies.fine_pairs(i, j, group, n, percent)
-        assert (keep == (shared >= near_copies.needed(sizes[i] + sizes[j], percent))).all()
-        assert keep[(i == 7) & (j == 8)].all()
-
-
 @pytest.mark.parametrize("kind", ["near", "mix", "score", "exact"])
 def test_rows_read_in_other_pieces(spark, tmp_path, kind):
     """Later scans may cut the input differently than the scan that numbered its rows."""
