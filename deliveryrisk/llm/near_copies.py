@@ -26,7 +26,7 @@ R-tree. Sets already known to be connected are not compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ GROWTH = 1.5
 SPARE_SHARE = 0.15
 BLOCK = 512
 FANOUT = 16
+LEAST = 6
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +214,21 @@ class Tree:
             edge = np.arange(0, least.size, FANOUT)
             self.levels.append((np.maximum.reduceat(top, edge), np.minimum.reduceat(least, edge)))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, point) whose overlap bound reaches the needed overlap."""
+    def search(
+        self, points: np.ndarray, sizes: np.ndarray, percent: int, wanted: Callable | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, point) whose overlap bound reaches the needed overlap.
+
+        ``wanted`` tells which pairs to bound, all if it is not given.
+        """
         top = self.levels[-1][1].size
         query = np.repeat(np.arange(sizes.size), top)
         node = np.tile(np.arange(top), sizes.size)
         for depth in range(len(self.levels) - 1, -1, -1):
             most, least = self.levels[depth]
+            if depth == 0 and wanted is not None:
+                asked = wanted(query, self.order[node])
+                query, node = query[asked], node[asked]
             keep = []
             for part in np.array_split(np.arange(query.size), query.size // 16384 + 1):
                 q, t = query[part], node[part]
@@ -263,22 +272,51 @@ def points_in(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, DIMENSIONS)
 
 
+def least_cells(column: pa.ChunkedArray) -> np.ndarray:
+    """The ascending cells that rows bring along, ``LEAST`` a row; the last one repeats where there are fewer."""
+    lists = column.combine_chunks()
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    at = offsets[:-1, None] + np.arange(LEAST)
+    return values[np.minimum(at, offsets[1:, None] - 1)]
+
+
+def meets_here(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
+    """Whether pairs are bounded in this cell, from the smallest cells of their sets."""
+    found = []
+    for part in np.array_split(np.arange(len(a)), len(a) // 16384 + 1):
+        shared = (a[part][:, :, None] == b[part][:, None, :]).any(axis=2)
+        least = np.take_along_axis(a[part], shared.argmax(axis=1)[:, None], axis=1)[:, 0]
+        found.append(~shared.any(axis=1) | (least == cell))
+    return np.concatenate(found)
+
+
 def search_blocks(percent: int):
-    """Task function: pairs of one cell block that pass the bound and lie in different components."""
+    """Task function: pairs of one cell block that pass the bound and lie in different components.
+
+    side is 0 for a query, 1 for a set of the cell's main component, 2 for any
+    other. Two sets outside the main one meet twice, once as each other's
+    query; the one with the larger number asks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, ["cell", "qb", "bb"]):
             side = rows.column("side").to_numpy()
             ids, label = rows.column("row_").to_numpy(), rows.column("label").to_numpy()
             sizes, points = rows.column("n").to_numpy(), points_in(rows.column("point"))
-            q, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if q.size and b.size:
-                i, j = Tree(points[b], sizes[b]).search(points[q], sizes[q], percent)
-                i, j = q[i], b[j]
-                apart = label[i] != label[j]
-                i, j = ids[i[apart]], ids[j[apart]]
-                if i.size:
-                    yield pa.RecordBatch.from_pydict({"a": np.maximum(i, j), "b": np.minimum(i, j)})
+            least, cell = least_cells(rows.column("least")), rows.column("cell")[0].as_py()
+            q, b = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+            if not q.size or not b.size:
+                continue
+
+            def wanted(query: np.ndarray, point: np.ndarray) -> np.ndarray:
+                i, j = q[query], b[point]
+                asks = np.flatnonzero((label[i] != label[j]) & ((side[j] == 1) | (ids[i] > ids[j])))
+                return asks[meets_here(least[i[asks]], least[j[asks]], cell)]
+
+            i, j = Tree(points[b], sizes[b]).search(points[q], sizes[q], percent, wanted)
+            i, j = ids[q[i]], ids[b[j]]
+            if i.size:
+                yield pa.RecordBatch.from_pydict({"a": np.maximum(i, j), "b": np.minimum(i, j)})
 
     return run
 
@@ -407,21 +445,22 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         F.ceil(F.col("all") / BLOCK).cast("int").alias("kb"),
         F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("kq"),
     )
-    open_rows = labelled.join(ways, "cell")
+    open_rows = stored(labelled.join(ways, "cell"))
+    least = open_rows.groupBy("row_").agg(F.slice(F.array_sort(F.collect_set("cell")), 1, LEAST).alias("least"))
     deal = F.xxhash64("row_", "cell")
     queries = open_rows.where("label <> main").select(
         "cell", "row_", "label", F.lit(0).alias("side"), F.pmod(deal, F.col("kq")).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("bb"),
     )
     base = open_rows.select(
-        "cell", "row_", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("kq") - 1)).alias("qb"),
+        "cell", "row_", "label", F.when(F.col("label") == F.col("main"), 1).otherwise(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("kq") - 1)).alias("qb"),
         F.pmod(deal, F.col("kb")).cast("int").alias("bb"),
     )
-    points = described.where("point is not null").select("row_", "n", "point")
+    points = described.where("point is not null").select("row_", "n", "point").join(least, "row_")
     blocks = queries.unionByName(base).join(points, "row_")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.repartition(parts, "cell", "qb", "bb").sortWithinPartitions("cell", "qb", "bb", "side")
-    pairs = dealt.select("cell", "qb", "bb", "side", "row_", "label", "n", "point").mapInArrow(
+    pairs = dealt.select("cell", "qb", "bb", "side", "row_", "label", "n", "point", "least").mapInArrow(
         search_blocks(percent), "a long, b long"
     )
     more = verify(pairs.distinct(), texts, width, percent)

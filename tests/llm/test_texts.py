@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,41 @@ def test_tree_loses_no_pair():
     assert got == set(zip(*np.nonzero(want), strict=True))
 
 
+def test_pairs_meet_in_one_shared_cell():
+    """Of the cells two sets share exactly one bounds their pair if it can be told, else all of them."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(-40, 40, size=int(rng.integers(1, 30)))) for _ in range(60)]
+    sets += [s[rng.random(s.size) < 0.8] if s.size > 1 else s for s in sets]
+    sets = [s if s.size else np.array([0]) for s in sets]
+    least = near_copies.least_cells(pa.chunked_array([pa.array([s[: near_copies.LEAST].tolist() for s in sets])]))
+    told = 0
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            shared = np.intersect1d(sets[a], sets[b])
+            meets = [c for c in shared.tolist() if near_copies.meets_here(least[a : a + 1], least[b : b + 1], c)[0]]
+            known = np.intersect1d(sets[a][: near_copies.LEAST], sets[b][: near_copies.LEAST])
+            assert meets == ([known[0]] if known.size else shared.tolist())
+            told += known.size > 0
+    assert told > 1000
+
+
+def test_unlinked_texts_that_share_cells(spark, tmp_path):
+    """A large group of texts that resemble each other just below the threshold, with some links among them."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for g in range(150):
+        w = list(base)
+        for k in rng.choice(120, size=int(rng.integers(1, 6)), replace=False):
+            w[k] = f"g{g}_{k}"
+        rows.append(" ".join(w))
+    docs = list(enumerate(rows))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    want = brute.near_components(docs, 5, 80)
+    assert [got[i] for i, _ in docs] == want and 1 < len(set(want)) < 150
+
+
 def test_base_scores(docs, empty):
     got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm_scoring.score(docs).collect())
     want = sorted(
