@@ -44,6 +44,8 @@ SPARE_SHARE = 0.15
 BLOCK = 512
 FANOUT = 16
 LEAST = 6
+WORD_BITS = 64
+WORDS = 512
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -398,6 +400,40 @@ def bounded(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     return sized.where(within_bound(percent)("pa", "pb", "na", "nb")).select("a", "b")
 
 
+def listed_cells(cells: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for all listed cells and for few others.
+
+    A filter of bits, about 16 a cell and at most 32 MB: blocks of ``WORDS``
+    numbers of ``WORD_BITS`` bits, which rows read without decoding. With more
+    cells more rows pass; none is missed.
+    """
+    bits = filter_bits(cells.count())
+
+    def place(cell: Column) -> Column:
+        return F.pmod(F.xxhash64(cell), F.lit(bits))
+
+    slot = F.col("slot")
+    words = cells.select(place(F.col("cell")).alias("slot")).groupBy(F.shiftright(slot, 6).alias("id")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("word")
+    )
+    every = cells.sparkSession.range(bits // WORD_BITS).join(words, "id", "left")
+    blocks = every.groupBy(F.floor(F.col("id") / WORDS).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("w")
+    )
+    whole = blocks.select("block", F.col("w.word").alias("w")).agg(
+        F.array_sort(F.collect_list(F.struct("block", "w"))).alias("b")
+    )
+    filled = whole.select(F.col("b.w").alias("blocks")).scalar()
+
+    def test(cell: Column) -> Column:
+        at = place(cell)
+        block = F.get(filled, F.shiftright(at, 15).cast("int"))
+        word = F.get(block, F.shiftright(at, 6).bitwiseAND(F.lit(WORDS - 1)).cast("int"))
+        return F.getbit(word, at.bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")) == 1
+
+    return test
+
+
 def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows (row_, doc_id, n, component) of docs (doc_id, text, row_); component is a row_."""
     described = stored(
@@ -408,7 +444,8 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         )
     )
     placed = described.where("size(cells) > 0").select("row_", F.explode("cells").alias("cell"))
-    heat = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("heat")).where("heat > 1")
+    heat = stored(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("heat")).where("heat > 1"))
+    placed = placed.where(listed_cells(heat)(F.col("cell")))  # most cells hold one set
     spare = described.where("size(cells) > 0").select("row_", "even", "odd")
     odd = F.col("cell").bitwiseAND(1) == 1
     by_heat = Window.partitionBy("row_", odd).orderBy(F.desc("heat"), "cell")  # the cells of one set

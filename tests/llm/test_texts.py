@@ -245,6 +245,19 @@ def test_pairs_meet_in_one_shared_cell():
     assert told > 1000
 
 
+def test_listed_cells_pass(spark):
+    rng = np.random.default_rng(9)
+    listed = np.unique(rng.integers(-(1 << 62), 1 << 62, size=20_000))
+    other = rng.integers(-(1 << 62), 1 << 62, size=20_000)
+    cells = spark.createDataFrame([(int(c),) for c in listed], "cell long")
+    test = near_copies.listed_cells(cells)
+    assert cells.where(test(F.col("cell"))).count() == listed.size
+    others = spark.createDataFrame([(int(c),) for c in other], "cell long")
+    assert others.where(test(F.col("cell"))).count() < 2500
+    none = cells.where("false")
+    assert cells.where(near_copies.listed_cells(none)(F.col("cell"))).count() == 0
+
+
 def test_unlinked_texts_that_share_cells(spark, tmp_path):
     """A large group of texts that resemble each other just below the threshold, with some links among them."""
     rng = np.random.default_rng(11)
