@@ -11,6 +11,7 @@ from deliveryrisk.functions.scalar import Scalars, missing_rate
 from deliveryrisk.operators.stats import ks_two_sample
 
 DRIFT_FEATURES = ["order_amount", "items_missing", "missing_rate"]
+READ = ["order_id", "order_date", "order_amount", "items_missing", "items_delivered"]
 
 
 def time_halves(orders: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def drift_table(split: DataFrame, features: list[str] = DRIFT_FEATURES) -> DataF
 
 
 def drift_by_halves(orders: DataFrame) -> DataFrame:
-    return drift_table(time_halves(orders))
+    return drift_table(time_halves(orders.select(*READ)))
 
 
 def half_performance(orders: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def half_performance(orders: DataFrame) -> DataFrame:
     hit = (F.col("items_missing") > 0).cast("double") * 100.0
     ref, cur = F.col("reference_anomaly_rate"), F.col("current_anomaly_rate")
     return (
-        time_halves(orders)
+        time_halves(orders.select(*READ))
         .agg(
             F.avg(F.when(~F.col("is_current"), hit)).alias("reference_anomaly_rate"),
             F.avg(F.when(F.col("is_current"), hit)).alias("current_anomaly_rate"),
