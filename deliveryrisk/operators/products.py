@@ -373,32 +373,39 @@ def pattern_exposure(missing_items: DataFrame, orders: DataFrame, products: Data
     return missing_facts(missing_items, order_exposure(orders, missing_items), products).fillna(0.0, ["price"])
 
 
-def product_scope(products: DataFrame, exposed: DataFrame, edges=PRICE_BAND_EDGES) -> DataFrame:
-    """P-18: losses, costs, 40/30/20/10 score, tiers and ranks of every product."""
+def exposure_by_product(exposed: DataFrame) -> DataFrame:
+    """Events, losses, rates, and numbers of different orders, customers and regions of each product.
 
-    def mean_flag(c):
-        return F.avg(F.col(c).cast("double")).alias(c)
+    Several distinct counts in one aggregation would hold every row once for
+    each of them in a task's memory, with all other sums. So the rows are written
+    once, narrow, and each count folds its own pairs.
+    """
+    flags = {
+        "is_anomaly_day": "anomaly_day_rate",
+        "is_anomaly_hour": "anomaly_hour_rate",
+        "is_high_risk_region": "high_risk_region_rate",
+        "is_collusion_pair": "collusion_pair_rate",
+    }
+    distinct = {"order_id": "orders_affected", "customer_id": "unique_customers", "region": "unique_regions"}
+    narrow = materialize(exposed.select("product_id", *distinct, "price", *flags, "pattern_exposure_points"))
+    out = narrow.groupBy("product_id").agg(
+        rows().alias("times_reported_missing"),
+        money_sum("price").alias("estimated_loss"),
+        *[F.avg(F.col(c).cast("double")).alias(name) for c, name in flags.items()],
+        F.avg("pattern_exposure_points").alias("pattern_exposure_index"),
+    )
+    counts = None
+    for c, name in distinct.items():
+        pairs = narrow.select("product_id", c).distinct().groupBy("product_id").agg(F.count(c).alias(name))
+        counts = pairs if counts is None else counts.unionByName(pairs, allowMissingColumns=True)
+    out = out.join(counts.groupBy("product_id").agg(*[F.max(name).alias(name) for name in distinct.values()]), "product_id")
+    order = ["product_id", "times_reported_missing", "orders_affected", "estimated_loss", "unique_customers", "unique_regions"]
+    return out.select(*order, *flags.values(), "pattern_exposure_index")
 
-    agg = (
-        exposed.groupBy("product_id")
-        .agg(
-            rows().alias("times_reported_missing"),
-            F.count_distinct("order_id").alias("orders_affected"),
-            money_sum("price").alias("estimated_loss"),
-            F.count_distinct("customer_id").alias("unique_customers"),
-            F.count_distinct("region").alias("unique_regions"),
-            *[mean_flag(c) for c in ("is_anomaly_day", "is_anomaly_hour", "is_high_risk_region", "is_collusion_pair")],
-            F.avg("pattern_exposure_points").alias("pattern_exposure_index"),
-        )
-        .withColumnsRenamed(
-            {
-                "is_anomaly_day": "anomaly_day_rate",
-                "is_anomaly_hour": "anomaly_hour_rate",
-                "is_high_risk_region": "high_risk_region_rate",
-                "is_collusion_pair": "collusion_pair_rate",
-            }
-        )
-    )
+
+def product_scope(products: DataFrame, exposed: DataFrame, edges=PRICE_BAND_EDGES) -> DataFrame:
+    """P-18: losses, costs, 40/30/20/10 score, tiers and ranks of every product."""
+    agg = exposure_by_product(exposed)
     loss, times = F.col("estimated_loss"), F.col("times_reported_missing")
     scoped = materialize(
         products.withColumn("price", F.coalesce("price", F.lit(0.0)))

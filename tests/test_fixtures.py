@@ -284,3 +284,29 @@ def test_orders_without_keys_belong_to_nobody(spark):
     assert {(r["driver_id"], r["customer_id"]) for r in P.pair_interactions(df).collect()} == {("a", "x"), ("b", "y"), ("c", "z")}
     assert {r["region"] for r in G.regional_performance(df).collect()} == {"west", "east"}
     assert all(r["region"] for r in G.regional_monthly(df).collect())
+
+
+def test_exposure_by_product_counts_each_column_on_its_own(spark):
+    kind = (
+        "product_id bigint, order_id bigint, customer_id bigint, region string, price double, is_anomaly_day boolean, "
+        "is_anomaly_hour boolean, is_high_risk_region boolean, is_collusion_pair boolean, pattern_exposure_points double"
+    )
+    rows = [
+        (1, 10, 5, "a", 2.5, True, False, True, False, 4.0),
+        (1, 10, 5, "a", 2.5, True, False, False, False, 2.0),
+        (1, 10, 6, None, 2.5, False, False, False, False, 0.0),
+        (1, 11, None, "b", 2.5, False, True, None, False, 2.0),
+        (2, None, 5, None, 1.0, False, False, False, True, 1.0),
+        (None, 12, 5, "a", 1.0, False, False, False, True, 1.0),
+    ]
+    got = P.exposure_by_product(spark.createDataFrame(rows, kind)).orderBy("product_id")
+    assert values(got, "product_id", "times_reported_missing", "orders_affected", "unique_customers", "unique_regions") == [
+        (1, 4, 2, 2, 2),
+        (2, 1, 0, 1, 0),
+    ]
+    assert values(got, "estimated_loss", "high_risk_region_rate", "pattern_exposure_index") == [
+        (10.0, pytest.approx(1 / 3), 2.0),
+        (1.0, 0.0, 1.0),
+    ]
+    # no row is held once for each distinct count
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
