@@ -110,6 +110,28 @@ def test_kmeans(cloud):
     assert sum(r["share"] for r in stats) == pytest.approx(100) and sum(r["is_high_risk"] for r in stats) == 1
 
 
+def test_kmeans_starts_are_spark_ones_in_few_jobs(cloud, spark):
+    """All starts of all k end where Spark's own end, and share their passes."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    df, scaler, _ = cloud
+    rows = scaler.transform(df).withColumn("vector", array_to_vector("features"))
+    starts = [(k, 42 + i) for k in (2, 4) for i in range(3)]
+    group = "starts together"
+    spark.sparkContext.setJobGroup(group, group)
+    got = K.fit_starts(rows, starts)
+    together = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("own", "own")
+    for (k, seed), m in zip(starts, got, strict=True):
+        own = KMeans(k=k, seed=seed, featuresCol="vector", maxIter=300).fit(rows)
+        assert np.allclose(m.clusterCenters(), own.clusterCenters())
+        assert m.trainingCost == pytest.approx(own.summary.trainingCost)
+    one_by_one = len(spark.sparkContext.statusTracker().getJobIdsForGroup("own"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert together < one_by_one
+
+
 def test_dbscan_keeps_text_keys(spark):
     rows = [(f"k{i}", float(i % 2) * 10, 0.0, 0.0) for i in range(30)] + [("far", 99.0, 99.0, 99.0)]
     df = spark.createDataFrame(rows, "id string, a double, b double, c double")
