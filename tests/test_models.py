@@ -139,6 +139,28 @@ def test_dbscan_keeps_text_keys(spark):
     assert got["far"] == ("noise", "-1") and got["k3"] == ("core", "k1") and got["k4"] == ("core", "k0")
 
 
+def test_path_lengths_follow_each_row():
+    """Every row ends in the leaf that a walk of its own reaches."""
+    from deliveryrisk.models.iforest import grow, path_lengths
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    x[::7, 1] = np.nan
+    grown = [grow(np.nan_to_num(x[i * 50 : i * 50 + 50]), rng, 6) for i in range(4)] + [grow(np.ones((5, 3)), rng, 6)]
+    trees = [tuple(np.array(t[c]) for c in ("feature", "threshold", "left", "right", "depth")) for t in grown]
+
+    def walk(row, tree):
+        feature, threshold, left, right, depth = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] <= threshold[at] else right[at]
+        return depth[at]
+
+    want = [np.mean([walk(row, t) for t in trees]) for row in x]
+    assert path_lengths(x, trees) == pytest.approx(want)
+    assert len(path_lengths(x[:0], trees)) == 0
+
+
 def test_forest_sees_all_ids(spark):
     """The rows of a tree are drawn over the whole range of ids."""
     df = spark.range(20_000).select("id", (F.col("id") * 1.0).alias("a"))
