@@ -132,6 +132,22 @@ def test_kmeans_starts_are_spark_ones_in_few_jobs(cloud, spark):
     assert together < one_by_one
 
 
+def test_within_decides_as_distances_do():
+    from deliveryrisk.models.dbscan import within
+    from deliveryrisk.models.metric_tree import distances
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 14)) * 40
+    y = np.vstack([x[:50], x[:50] + rng.normal(size=(50, 14)) * 0.2, np.round(x[:50]), x[:50]])
+    # exactly at the radius, and beside it by one last place
+    y[150:, 0] += 0.5
+    y[150::2, 0] = np.nextafter(y[150::2, 0], np.inf)
+    assert np.array_equal(within(x, y, 0.5), distances(x, y) <= 0.5)
+    assert within(x, y, 0.5).sum() > 50 and within(x[:0], y, 0.5).shape == (0, 200)
+    bad = np.vstack([x[:3], np.full((1, 14), np.inf), np.full((1, 14), np.nan)])
+    assert np.array_equal(within(bad, x, 0.5), distances(bad, x) <= 0.5)
+
+
 def test_dbscan_keeps_text_keys(spark):
     rows = [(f"k{i}", float(i % 2) * 10, 0.0, 0.0) for i in range(30)] + [("far", 99.0, 99.0, 99.0)]
     df = spark.createDataFrame(rows, "id string, a double, b double, c double")
