@@ -132,6 +132,11 @@ def test_kmeans_starts_are_spark_ones_in_few_jobs(cloud, spark):
     assert together < one_by_one
 
 
+def test_first_start_wins_equal_costs():
+    a, b, c = (K.Centers(np.zeros((1, 1)), cost) for cost in (5.0, 3.0 * (1 + 1e-15), 3.0))
+    assert K.cheapest([a, b, c]) is b and K.cheapest([c, a, b]) is c
+
+
 def test_within_decides_as_distances_do():
     from deliveryrisk.models.dbscan import within
     from deliveryrisk.models.metric_tree import distances
