@@ -16,6 +16,7 @@ from deliveryrisk.config import (
     SLA_BY_PRIORITY,
     THRESHOLDS,
 )
+from deliveryrisk.functions.dealing import dealt
 from deliveryrisk.functions.materialize import materialize
 from deliveryrisk.functions.ranking import average_rank, quantiles, running_counts
 from deliveryrisk.functions.scalar import (
@@ -378,7 +379,7 @@ def exposure_by_product(exposed: DataFrame) -> DataFrame:
 
     Several distinct counts in one aggregation would hold every row once for
     each of them in a task's memory, with all other sums. So the rows are written
-    once, narrow, and each count folds its own pairs.
+    once, narrow, and each count folds its own pairs, in tasks of bounded size.
     """
     flags = {
         "is_anomaly_day": "anomaly_day_rate",
@@ -388,17 +389,20 @@ def exposure_by_product(exposed: DataFrame) -> DataFrame:
     }
     distinct = {"order_id": "orders_affected", "customer_id": "unique_customers", "region": "unique_regions"}
     narrow = materialize(exposed.select("product_id", *distinct, "price", *flags, "pattern_exposure_points"))
-    out = narrow.groupBy("product_id").agg(
+    n = narrow.count()
+    out = dealt(narrow, "product_id", "order_id", rows=n).groupBy("product_id").agg(
         rows().alias("times_reported_missing"),
         money_sum("price").alias("estimated_loss"),
         *[F.avg(F.col(c).cast("double")).alias(name) for c, name in flags.items()],
         F.avg("pattern_exposure_points").alias("pattern_exposure_index"),
     )
-    counts = None
+    known = None
     for c, name in distinct.items():
-        pairs = narrow.select("product_id", c).distinct().groupBy("product_id").agg(F.count(c).alias(name))
-        counts = pairs if counts is None else counts.unionByName(pairs, allowMissingColumns=True)
-    out = out.join(counts.groupBy("product_id").agg(*[F.max(name).alias(name) for name in distinct.values()]), "product_id")
+        pairs = dealt(narrow.select("product_id", c), "product_id", c, rows=n).distinct()
+        one = pairs.select("product_id", *[(F.col(c).isNotNull() if x == name else F.lit(False)).alias(x) for x in distinct.values()])
+        known = one if known is None else known.unionByName(one)
+    counts = known.groupBy("product_id").agg(*[F.count_if(name).alias(name) for name in distinct.values()])
+    out = out.join(counts, "product_id")
     order = ["product_id", "times_reported_missing", "orders_affected", "estimated_loss", "unique_customers", "unique_regions"]
     return out.select(*order, *flags.values(), "pattern_exposure_index")
 
@@ -483,8 +487,9 @@ def category_scope(scope: DataFrame, facts: DataFrame) -> DataFrame:
         F.sum("prevention_cost").alias("prevention_cost"),
         F.avg("risk_score").alias("avg_risk_score"),
     )
+    amounts = materialize(facts.select("order_id", "category", "order_amount"))
     revenue = (
-        facts.select("order_id", "category", "order_amount")
+        dealt(amounts, "order_id", "category")
         .distinct()
         .groupBy("category")
         .agg(money_sum("order_amount").alias("revenue_proxy"))

@@ -310,3 +310,34 @@ def test_exposure_by_product_counts_each_column_on_its_own(spark):
     ]
     # no row is held once for each distinct count
     assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_products_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    from deliveryrisk.functions import dealing
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    kind = (
+        "product_id bigint, order_id bigint, customer_id bigint, region string, price double, is_anomaly_day boolean, "
+        "is_anomaly_hour boolean, is_high_risk_region boolean, is_collusion_pair boolean, pattern_exposure_points double"
+    )
+    rows = [(i % 7, i // 2, i % 30, "ab"[i % 2] if i % 3 else None, 1.0, True, False, True, False, 4.0) for i in range(200)]
+    exposed = spark.createDataFrame(rows, kind)
+    parts = [r[0] for r in dealing.dealt(exposed, "order_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert 10 < len(parts) <= 20
+    got = P.exposure_by_product(exposed)
+    want = {
+        p: tuple(len({r[c] for r in rows if r[0] == p and r[c] is not None}) for c in (1, 2, 3)) for p in range(7)
+    }
+    assert {r[0]: tuple(r)[1:] for r in got.select("product_id", "orders_affected", "unique_customers", "unique_regions").collect()} == want
+    # the sums and each of the three counts work on 20 tasks of ten rows
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 4 and all(", 20" in line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    facts = spark.createDataFrame([(i, "xy"[i % 2], 2.0) for i in range(50)] * 3, "order_id bigint, category string, order_amount double")
+    scope = spark.createDataFrame(
+        [(c, "Low", 1, 1.0, 1.0, 1.0, 1.0, 1.0) for c in "xy"],
+        "category string, risk_tier string, times_reported_missing bigint, estimated_loss double, margin_loss double, "
+        "replacement_cost double, prevention_cost double, risk_score double",
+    )
+    cats = P.category_scope(scope, facts)
+    assert sorted(values(cats, "category", "revenue_proxy")) == [("x", 50.0), ("y", 50.0)]
+    assert "RepartitionByExpression" in cats._jdf.queryExecution().optimizedPlan().toString()
