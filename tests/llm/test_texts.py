@@ -506,3 +506,20 @@ def test_contexts_share_no_slot(spark, monkeypatch):
                     slot = slots_at(bit)[k][at + i]
                     assert (zeros[slot], ones[slot]) == (sum(same.values()) - one, one)
             at += len(w) + 1
+
+
+def test_shared_contexts_reach_groups_in_bounded_pieces(spark, monkeypatch):
+    """A group meets the counts of its contexts in a few rows, not in one for each count; all counts arrive."""
+    rows = [(i, f"{a}{b}".encode(), i % 3, i % 4) for i, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "ijklmnopqr")]
+    vocabulary = spark.createDataFrame(rows, "hash long, word binary, n long, part int")
+    shared = lm_scoring.shared_counts(vocabulary)
+    want = sorted(map(tuple, lm_scoring.flat(shared.withColumn("part", F.explode("parts")), "part").collect()))
+    monkeypatch.setattr(lm_scoring, "DEAL_ENTRIES", len(want) // 4)
+    batches = shared.select("context", "entries", "parts").coalesce(1).toArrow().combine_chunks().to_batches()
+    got = [b for batch in batches for b in lm_scoring.deal_to_parts([batch])]
+    counts = []
+    for r in (r for b in got for r in b.to_pylist()):
+        at = [c for c, k in zip(r["context"], r["size"], strict=True) for _ in range(k)]
+        counts += [(r["part"], c, b, n) for c, b, n in zip(at, r["byte"], r["n"], strict=True)]
+    assert sorted(counts) == want and len(want) > 200
+    assert sum(b.num_rows for b in got) <= 4 * (5 + len(batches))
