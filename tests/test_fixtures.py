@@ -341,3 +341,36 @@ def test_products_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     cats = P.category_scope(scope, facts)
     assert sorted(values(cats, "category", "revenue_proxy")) == [("x", 50.0), ("y", 50.0)]
     assert "RepartitionByExpression" in cats._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orders_are_folded_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Lines and orders are dealt by the number of lines, not by a fixed number of partitions; odd keys stay right."""
+    from deliveryrisk.functions import dealing
+    from deliveryrisk.sources.canonical import SCHEMAS, Tables
+
+    day = dt.datetime(2023, 1, 1)
+    lines = [(k, k % 5, k % 3, n, 1.0, 1.0, 0.0, 0.0, "R" if (k + n) % 4 == 0 else "N", "O", day) for k in range(40) for n in range(1, 6)]
+    lines += [(None, 1, 2, 1, 1.0, 1.0, 0.0, 0.0, "R", "O", day)] * 30 + lines[:5]
+    orders = [(k, (k or 0) % 7, "O", 10.0, day, "1") for k in [*range(42), 3, None]]
+    rows = {
+        "lineitem": lines,
+        "orders": orders,
+        "supplier": [(k, f"s{k}", 0, 0.0) for k in range(3)],
+        "customer": [(k, f"c{k}", 0, 0.0, "x") for k in range(7)],
+        "nation": [(0, "n", 0)],
+        "region": [(0, "r")],
+    }
+    for name, found in rows.items():
+        spark.createDataFrame(found, SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    df = Tables(spark, str(tmp_path)).orders
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {math.ceil(len(lines) / 10)}") >= 2 and "RepartitionByExpression" in plan
+    want = []
+    for k, *_ in orders:
+        mine = [r for r in lines if k is not None and r[0] == k]
+        first = min(((r[3], r[1], r[2]) for r in mine), default=(0, 0, None if k is None else k % 3))
+        gone = sum(r[8] == "R" for r in mine)
+        want.append((k, gone, len(mine) - gone, first[2]))
+    got = df.select("order_id", "items_missing", "items_delivered", "driver_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
