@@ -15,8 +15,9 @@ or one says little), and then as many of the cells that most sets have. As all
 sets rank a common cell alike, linked sets still share a cell, and a set that
 shares few cells has none left. No link is lost.
 
-Large groups of copies. Copies inside a task are folded at once. The smallest
-set of a cell is its hub. First every set is compared with the smallest of its
+Large groups of copies. Copies inside a task are folded at once, copies of other
+tasks by their fingerprints before cells are compared: otherwise all cells of a
+set that occurs twice would count as shared. The smallest set of a cell is its hub. First every set is compared with the smallest of its
 hubs, then with the smallest that lies in another component; a group of near
 copies collapses without listing its pairs. Then only cells that still
 hold several components are searched: the sets outside the cell's largest
@@ -434,6 +435,26 @@ def listed_cells(cells: DataFrame) -> Callable[[Column], Column]:
     return test
 
 
+def equal_sets(described: DataFrame) -> DataFrame:
+    """Stored pairs (a, b): rows with cells, and the smallest other row of an equal set."""
+    own = described.where("size(cells) > 0").select("row_", "one", "two")
+    least = own.groupBy("one", "two").agg(F.min("row_").alias("b"), F.max("row_").alias("top")).where("b <> top")
+    pairs = own.join(least.drop("top"), ["one", "two"]).where("row_ <> b")
+    return stored(pairs.select(F.col("row_").alias("a"), "b"))
+
+
+def without_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows whose row_ is not listed as a. A filter of bits lets most pass; only the others meet the list in a join."""
+    bits = filter_bits(listed.count())
+
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    may = in_blocks(slot("row_"), bit_blocks(listed.select(slot("a").alias("slot")), bits))
+    rest = rows.where(may).join(listed.select(F.col("a").alias("row_")), "row_", "left_anti")
+    return rows.where(~may).unionByName(rest)
+
+
 def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Rows (row_, doc_id, n, component) of docs (doc_id, text, row_); component is a row_."""
     described = stored(
@@ -443,7 +464,9 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
             "first_ long, even long, odd long, point binary, cells array<long>",
         )
     )
-    placed = described.where("size(cells) > 0").select("row_", F.explode("cells").alias("cell"))
+    equal = equal_sets(described)
+    with_cells = described.where("size(cells) > 0").select("row_", "cells")
+    placed = without_rows(with_cells, equal).select("row_", F.explode("cells").alias("cell"))
     heat = stored(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("heat")).where("heat > 1"))
     placed = placed.where(listed_cells(heat)(F.col("cell")))  # most cells hold one set
     spare = described.where("size(cells) > 0").select("row_", "even", "odd")
@@ -501,7 +524,7 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         search_blocks(percent), "a long, b long"
     )
     more = verify(pairs.distinct(), texts, width, percent)
-    found = components(links.unionByName(more))
+    found = components(links.unionByName(more).unionByName(equal))
     ends = found.withColumnsRenamed({"node": "first_", "component": "end"})
     return described.select("row_", "doc_id", "n", "first_").join(ends, "first_", "left").select(
         "row_", "doc_id", "n", F.coalesce("end", "first_").alias("component")

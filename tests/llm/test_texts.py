@@ -523,3 +523,16 @@ def test_shared_contexts_reach_groups_in_bounded_pieces(spark, monkeypatch):
         counts += [(r["part"], c, b, n) for c, b, n in zip(at, r["byte"], r["n"], strict=True)]
     assert sorted(counts) == want and len(want) > 200
     assert sum(b.num_rows for b in got) <= 4 * (5 + len(batches))
+
+
+def test_copies_of_other_tasks_share_no_cells(spark, monkeypatch):
+    """Equal sets are linked by their fingerprints; their cells are not compared."""
+    texts = [" ".join(f"w{i}_{k}" for k in range(60)) for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    docs = docs.unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+    seen = []
+    test = near_copies.listed_cells
+    monkeypatch.setattr(near_copies, "listed_cells", lambda cells: seen.append(cells.count()) or test(cells))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {i + k: i for i in range(12) for k in (0, 100)}
+    assert seen[0] < 24  # each set has more cells than that
