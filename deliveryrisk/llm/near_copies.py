@@ -23,6 +23,12 @@ copies collapses without listing its pairs. Then only cells that still
 hold several components are searched: the sets outside the cell's largest
 component against all of it, in blocks of at most ``BLOCK`` points, each an
 R-tree. Sets already known to be connected are not compared.
+
+Crowds. Texts that resemble each other just below the threshold pass the bound in
+numbers that grow with the square of their group. A block with several pairs for
+each text in them therefore sends on the texts, once each, and not the pairs: one task
+compares their whole sets and returns the links that join components, fewer than
+there are texts.
 """
 
 from __future__ import annotations
@@ -45,6 +51,13 @@ SPARE_SHARE = 0.15
 BLOCK = 512
 FANOUT = 16
 LEAST = 6
+# Shingles of a part of a crowd, about; a task compares two parts at most.
+CROWD = 1 << 19
+# Pairs for each text of a block from which on it is a crowd; fewer are cheaper as pairs, which cells may share.
+DENSE = 4
+# Numbers of an incidence matrix.
+MATRIX = 1 << 22
+PAIR_OR_CROWD = "a long, b long, cell long, qb int, bb int, part int, label long"
 WORD_BITS = 64
 WORDS = 512
 
@@ -293,12 +306,26 @@ def meets_here(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+def crowd_parts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a crowd and the number of the part pair they belong to, each row in as many as there are other parts.
+
+    Parts hold ``CROWD`` shingles, about; a crowd of one part is compared as a whole.
+    """
+    part = np.unique((np.cumsum(sizes) - sizes) // CROWD, return_inverse=True)[1]
+    if not part.size or part.max() == 0:
+        return np.arange(part.size), part
+    x, y = np.triu_indices(part.max() + 1, 1)
+    row, pair = np.nonzero((part[:, None] == x) | (part[:, None] == y))
+    return row, pair
+
+
 def search_blocks(percent: int):
     """Task function: pairs of one cell block that pass the bound and lie in different components.
 
     side is 0 for a query, 1 for a set of the cell's main component, 2 for any
     other. Two sets outside the main one meet twice, once as each other's
-    query; the one with the larger number asks.
+    query; the one with the larger number asks. Where there are more than ``DENSE``
+    pairs a set, the sets are returned as a crowd: a, without b, with block, part and label.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +344,81 @@ def search_blocks(percent: int):
                 return asks[meets_here(least[i[asks]], least[j[asks]], cell)]
 
             i, j = Tree(points[b], sizes[b]).search(points[q], sizes[q], percent, wanted)
-            i, j = ids[q[i]], ids[b[j]]
+            i, j = q[i], b[j]
+            if not i.size:
+                continue
+            one, two = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+            # a query that asks and is asked stands in the block twice
+            crowd = np.concatenate([i, j])
+            crowd = crowd[np.unique(ids[crowd], return_index=True)[1]]
+            row, part = crowd_parts(sizes[crowd])
+            if one.size <= DENSE * row.size:
+                n, none = one.size, pa.nulls(one.size, pa.int64())
+                found = [pa.array(one), pa.array(two), none, *[pa.nulls(n, pa.int32())] * 3, none]
+            else:
+                at, n = crowd[row], row.size
+                block = [pa.repeat(rows.column(k)[0], n) for k in ("cell", "qb", "bb")]
+                found = [pa.array(ids[at]), pa.nulls(n, pa.int64()), *block, pa.array(part.astype(np.int32)), pa.array(label[at])]
+            yield pa.RecordBatch.from_arrays(found, ["a", "b", "cell", "qb", "bb", "part", "label"])
+
+    return run
+
+
+def overlaps(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Size of the intersection of every two sets, from products of incidence matrices of shared shingles."""
+    owner = np.repeat(np.arange(sizes.size), sizes)
+    _, at, count = np.unique(sets, return_inverse=True, return_counts=True)
+    shared = count > 1
+    inside = shared[at]
+    owner, at = owner[inside], (np.cumsum(shared) - 1)[at[inside]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((sizes.size, sizes.size))
+    width = max(1, MATRIX // sizes.size)
+    for lo in range(0, int(shared.sum()), width):
+        piece = slice(*np.searchsorted(at, [lo, lo + width]))
+        holds = np.zeros((sizes.size, width), dtype=np.float32)
+        holds[owner[piece], at[piece] - lo] = 1
+        both += holds @ holds.T
+    return both.astype(np.int64)
+
+
+def joining(links: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a matrix of links, as many as connect what all of them and equal labels connect."""
+    own = label.copy()
+    one, two = [], []
+    for i in range(own.size):
+        others = np.flatnonzero(links[i])
+        while (others := others[own[others] != own[i]]).size:
+            one.append(i)
+            two.append(others[0])
+            own[own == own[others[0]]] = own[i]
+    return np.array(one, dtype=np.int64), np.array(two, dtype=np.int64)
+
+
+def with_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches with shingle sets, as lists of hashes, in place of texts."""
+    for batch in batches:
+        names = [x for x in batch.schema.names if x != "text"]
+        for lo, hi, texts in sliced_texts(batch.column("text")):
+            sets, sizes = shingle_sets(texts, width)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x).slice(lo, hi - lo) for x in names], lists], [*names, "set"])
+
+
+def link_crowds(width: int, percent: int):
+    """Task function: of the links between whole texts of a crowd, as many as join its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(with_sets(batches, width), ["cell", "qb", "bb", "part"]):
+            ids, label = rows.column("a").to_numpy(), rows.column("label").to_numpy()
+            lists = rows.column("set").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            both = overlaps(lists.flatten().to_numpy(), sizes)
+            i, j = joining(both >= needed(sizes[:, None] + sizes[None], percent), label)
             if i.size:
-                yield pa.RecordBatch.from_pydict({"a": np.maximum(i, j), "b": np.minimum(i, j)})
+                yield pa.RecordBatch.from_pydict({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j])})
 
     return run
 
@@ -520,10 +619,16 @@ def link_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     blocks = queries.unionByName(base).join(points, "row_")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.repartition(parts, "cell", "qb", "bb").sortWithinPartitions("cell", "qb", "bb", "side")
-    pairs = dealt.select("cell", "qb", "bb", "side", "row_", "label", "n", "point", "least").mapInArrow(
-        search_blocks(percent), "a long, b long"
+    passed = stored(
+        dealt.select("cell", "qb", "bb", "side", "row_", "label", "n", "point", "least").mapInArrow(
+            search_blocks(percent), PAIR_OR_CROWD
+        )
     )
-    more = verify(pairs.distinct(), texts, width, percent)
+    more = verify(passed.where("b is not null").select("a", "b").distinct(), texts, width, percent)
+    block = ["cell", "qb", "bb", "part"]
+    crowds = passed.where("b is null").drop("b").join(texts.withColumnRenamed("row_", "a"), "a")
+    met = crowds.repartition(parts, *block).sortWithinPartitions(*block).select(*block, "a", "label", "text")
+    more = more.unionByName(stored(met.mapInArrow(link_crowds(width, percent), "a long, b long")))
     found = components(links.unionByName(more).unionByName(equal))
     ends = found.withColumnsRenamed({"node": "first_", "component": "end"})
     return described.select("row_", "doc_id", "n", "first_").join(ends, "first_", "left").select(

@@ -536,3 +536,48 @@ def test_copies_of_other_tasks_share_no_cells(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert got == {i + k: i for i in range(12) for k in (0, 100)}
     assert seen[0] < 24  # each set has more cells than that
+
+
+def resembling(n):
+    """Texts of one base that differ from it in one to eight words each: many link, the others nearly do."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(n):
+        w = [f"b{i}" for i in range(240)]
+        for k in rng.choice(240, size=int(rng.integers(1, 9)), replace=False):
+            w[k] = f"g{g}_{k}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_crowds_leave_the_search_as_texts_not_as_pairs(monkeypatch):
+    """What a block returns grows with its sets, and the links found connect what all pairs connect."""
+    monkeypatch.setattr(near_copies, "CROWD", 8000)  # three parts
+    texts = resembling(90)
+    docs = pa.RecordBatch.from_pydict({"row_": pa.array(range(90)), "doc_id": pa.array(range(90)), "text": pa.array(texts)})
+    (described,) = near_copies.describe(5, 80)([docs])
+    rows = [
+        {"cell": 1, "qb": 0, "bb": 0, "side": side, "label": r["row_"], "least": [1], **{k: r[k] for k in ("row_", "n", "point")}}
+        for side in (0, 2)
+        for r in described.to_pylist()
+    ]
+    found = [r for b in near_copies.search_blocks(80)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    assert len(found) <= 2 * 90
+    assert len(found) == 2 * len({r["a"] for r in found}) and {r["part"] for r in found} == {0, 1, 2}
+    crowds = [r | {"text": texts[r["a"]]} for r in sorted(found, key=lambda r: r["part"])]
+    links = [r for b in near_copies.link_crowds(5, 80)([pa.RecordBatch.from_pylist(crowds)]) for r in b.to_pylist()]
+    label = list(range(90))
+    for r in links:
+        one, two = label[r["a"]], label[r["b"]]
+        label = [min(one, two) if x in (one, two) else x for x in label]
+    assert label == brute.near_components(list(enumerate(texts)), 5, 80)
+    assert len(links) < len(found) and 1 < len(set(label)) < 90
+
+
+def test_components_when_all_pairs_go_by_crowds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_copies, "DENSE", 0)
+    docs = list(enumerate(resembling(150)))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    want = brute.near_components(docs, 5, 80)
+    assert [got[i] for i, _ in docs] == want and 1 < len(set(want)) < 150
