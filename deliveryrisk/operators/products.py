@@ -307,6 +307,11 @@ def order_exposure(orders: DataFrame, missing_items: DataFrame) -> DataFrame:
     so the points are worked out per order and reach the items by one join.
     Percentiles are over missing events; each order weighs in with its events.
     """
+    return _exposed_orders(orders, missing_items)[0]
+
+
+def _exposed_orders(orders: DataFrame, missing_items: DataFrame) -> tuple[DataFrame, int]:
+    """Orders with their points, and how many there are. They meet their pairs in tasks of bounded size."""
     events = missing_items.groupBy("order_id").agg(rows().alias("_events"))
     base = materialize(
         orders.join(events, "order_id", "left")
@@ -323,8 +328,10 @@ def order_exposure(orders: DataFrame, missing_items: DataFrame) -> DataFrame:
     hour = _small_signal(base, "delivery_hour", "hour", "is_anomaly_hour", 0.85)
     region = _small_signal(base, "region", "region", "is_high_risk_region", 0.85)
 
+    n = base.count()
+    by_pair = dealt(base, "driver_id", "customer_id", rows=n)
     pairs = materialize(
-        base.groupBy("driver_id", "customer_id").agg(
+        by_pair.groupBy("driver_id", "customer_id").agg(
             rows().alias("interactions"),
             F.avg("order_missing_rate").alias("pair_missing_rate"),
             F.sum("_events").alias("_n"),
@@ -349,12 +356,12 @@ def order_exposure(orders: DataFrame, missing_items: DataFrame) -> DataFrame:
     pair = flagged.join(ranks, "pair_missing_rate", "left").select(
         "driver_id", "customer_id", "pair_missing_rate", "pair_signal", "is_collusion_pair"
     )
-    # Weekday and hour tables are at most 7 and 24 rows.
+    # Weekday and hour tables are at most 7 and 24 rows; regions are a fixed dimension.
     joined = (
-        base.join(F.broadcast(day), "day_of_week", "left")
+        by_pair.join(F.broadcast(day), "day_of_week", "left")
         .join(F.broadcast(hour), "delivery_hour", "left")
-        .join(region, "region", "left")
-        .join(pair, ["driver_id", "customer_id"], "left")
+        .join(F.broadcast(region), "region", "left")
+        .join(dealt(pair, "driver_id", "customer_id", rows=n), ["driver_id", "customer_id"], "left")
     )
     points = (
         F.col("day_signal") * 0.30
@@ -366,12 +373,15 @@ def order_exposure(orders: DataFrame, missing_items: DataFrame) -> DataFrame:
         + F.col("is_high_risk_region").cast("int") * 7
         + F.col("is_collusion_pair").cast("int") * 10
     )
-    return joined.withColumn("pattern_exposure_points", clip(points, 0, 100)).drop("_events")
+    return joined.withColumn("pattern_exposure_points", clip(points, 0, 100)).drop("_events"), n
 
 
 def pattern_exposure(missing_items: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
-    """P-17: facts with signals, flags and points."""
-    return missing_facts(missing_items, order_exposure(orders, missing_items), products).fillna(0.0, ["price"])
+    """P-17: facts with signals, flags and points; items meet orders in tasks of bounded size."""
+    exposed, n = _exposed_orders(orders, missing_items)
+    n += missing_items.count()
+    items, exposed = (dealt(df, "order_id", rows=n) for df in (missing_items, exposed))
+    return missing_facts(items, exposed, products).fillna(0.0, ["price"])
 
 
 def exposure_by_product(exposed: DataFrame) -> DataFrame:

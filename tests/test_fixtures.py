@@ -374,3 +374,40 @@ def test_orders_are_folded_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch
         want.append((k, gone, len(mine) - gone, first[2]))
     got = df.select("order_id", "items_missing", "items_delivered", "driver_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_exposed_orders_meet_pairs_and_items_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Pairs and items are dealt by the number of rows; keys may be null or repeat, and every row comes out once."""
+    from deliveryrisk.functions import dealing
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    day = dt.date(2023, 1, 1)
+    rows = [
+        (i if i % 50 else None, day + dt.timedelta(i % 9), 10.0, "ab"[i % 2] if i % 3 else None, i % 5, i % 4, i % 24, i % 6 if i % 7 else None, i % 8)
+        for i in range(200)
+    ]
+    rows += rows[1:4]
+    kind = (
+        "order_id bigint, order_date date, order_amount double, region string, items_delivered bigint, items_missing bigint, "
+        "delivery_hour int, driver_id bigint, customer_id bigint"
+    )
+    items = [(i if i % 40 else None, i % 5 if i % 11 else None) for i in range(150)]
+    orders, missing = spark.createDataFrame(rows, kind), spark.createDataFrame(items, "order_id bigint, product_id bigint")
+    products = spark.createDataFrame([(p, f"p{p}", "c", 2.0) for p in range(5)], "product_id bigint, product_name string, category string, price double")
+    plan = P.order_exposure(orders, missing)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression" in line]
+    assert len(dealt) == 2 and all("driver_id" in line and ", 21" in line for line in dealt)
+    exposed = P.order_exposure(orders, missing).collect()
+    assert sorted((str(r.order_id), str(r.driver_id), r.customer_id) for r in exposed) == sorted((str(r[0]), str(r[7]), r[8]) for r in rows)
+    pair_rates = {}
+    for r in rows:
+        pair_rates.setdefault((r[7], r[8]), []).append(100.0 * r[5] / (r[4] + r[5]) if r[4] + r[5] else 0.0)
+    for r in exposed:
+        known = pair_rates[r.driver_id, r.customer_id]
+        assert r.pair_missing_rate == (None if r.driver_id is None else pytest.approx(sum(known) / len(known)))
+    facts = P.pattern_exposure(missing, orders, products)
+    lines = [line for line in facts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
+    assert sum("[order_id" in line and ", 36" in line for line in lines) == 2
+    copies = {i: sum(r[0] == i for r in rows) for i, _ in items if i is not None}
+    want = sorted((str(i), str(p)) for i, p in items for _ in range(max(1, copies.get(i, 0))))
+    assert sorted((str(r.order_id), str(r.product_id)) for r in facts.collect()) == want
