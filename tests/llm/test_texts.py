@@ -581,3 +581,53 @@ def test_components_when_all_pairs_go_by_crowds(spark, tmp_path, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(spark.read.parquet(str(tmp_path / "t"))).collect()}
     want = brute.near_components(docs, 5, 80)
     assert [got[i] for i, _ in docs] == want and 1 < len(set(want)) < 150
+
+
+def test_contexts_reach_across_words():
+    """Every byte of a text has its contexts in the whole text, though only distinct units are coded."""
+    import pyarrow as pa
+
+    texts = ["the cat  sat", "a of in cat", "", " sat\ncat THE cat a", "ab cd\0ef \0\0 verylongword a"]
+    units = {}
+    keys, owner = lm_scoring.junctions(lm_scoring.find_words([t.encode() for t in texts]))
+    for key in keys.tolist():
+        units[key.to_bytes(8, "big"), lm_scoring.ORDERS] = units.get((key.to_bytes(8, "big"), lm_scoring.ORDERS), 0) + 1
+    for t in texts:
+        for w in t.lower().encode().split():
+            if len(w) >= lm_scoring.ORDERS:
+                units[w, 0] = units.get((w, 0), 0) + 1
+    assert owner.tolist() == [i for i, t in enumerate(texts) for _ in range(len(t.split()) + 1)]
+    table = pa.table({"word": pa.array([u[0] for u in units], pa.binary()), "start": [u[1] for u in units], "n": list(units.values())})
+    symbols, lengths, found = lm_scoring.coded(table)
+    got, want = {}, {}
+    for i, n in enumerate(np.repeat(list(units.values()), lengths).tolist()):
+        for k, c in enumerate(found):
+            at = (k, int(c[i]), int(symbols[i]))
+            got[at] = got.get(at, 0) + n
+    for t in texts:
+        words = [w + b" " for w in t.lower().encode().split()] + [b"\n"]
+        whole = np.frombuffer(b"\n" * lm_scoring.ORDERS + b"".join(words), dtype=np.uint8)
+        reach = lm_scoring.contexts(whole, np.array([whole.size]))
+        alone = lm_scoring.contexts(whole[lm_scoring.ORDERS :], np.array([len(w) for w in words]))[-1]
+        for i in range(lm_scoring.ORDERS, whole.size):
+            for k in range(lm_scoring.PREDICTORS):
+                c = reach[k][i] if k <= lm_scoring.ORDERS else alone[i - lm_scoring.ORDERS]
+                at = (k, int(c), int(whole[i]))
+                want[at] = want.get(at, 0) + 1
+    assert got == want
+
+
+def test_order_of_words_changes_the_score(spark, monkeypatch):
+    """The same words in another order are another text, also where units lie outside the heads."""
+    rng = np.random.default_rng(4)
+    line = [f"{a}{b}" for a in "klmrts" for b in ("ba", "do", "fe")]
+    usual = [(i, " ".join(line[(i + j) % len(line)] for j in range(12))) for i in range(60)]
+    shuffled = [(100 + i, " ".join(rng.permutation(t.split()).tolist())) for i, t in usual[:20]]
+    docs = spark.createDataFrame(usual + shuffled, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    assert all(abs(got[i - 100].base_score - got[i].base_score) < 1e-9 for i, _ in shuffled)
+    assert all(got[i - 100].score > got[i].score + 1.0 for i, _ in shuffled)
+    monkeypatch.setattr(lm_scoring, "HEAD", 3)
+    monkeypatch.setattr(lm_scoring, "HEAD_JUNCTIONS", 3)
+    again = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    assert all(abs(again[i].score - got[i].score) < 1e-6 and again[i][:5] == got[i][:5] for i in got)
