@@ -200,3 +200,48 @@ def test_months_are_refit(spark):
     got = expanding_window_training(df, ["a", "b"], "id", n_trees=10).orderBy("training_month").collect()
     assert [r["n_samples"] for r in got] == [90 * k for k in range(2, 11)]
     assert all(8.0 <= r["anomaly_rate"] <= 12.0 for r in got)
+
+
+def test_packed_forest_adds_the_same_path_lengths():
+    """The compiled walk gives the sums of the descent in numpy, to the last bit; also for missing values and bare roots."""
+    from deliveryrisk.models import forest as FO
+    from deliveryrisk.models.iforest import grow, path_lengths
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3))
+    x[::9, 2] = np.nan
+    grown = [grow(np.nan_to_num(x[i * 40 : i * 40 + 40]), rng, 6) for i in range(12)]
+    grown[3:3] = [grow(np.ones((5, 3)), rng, 6)]
+    trees = [tuple(np.array(t[c]) for c in ("feature", "threshold", "left", "right", "depth")) for t in grown]
+    on_cut = trees[0][1][trees[0][0] >= 0]
+    x[: len(on_cut), trees[0][0][trees[0][0] >= 0][0]] = on_cut
+    packed = FO.Forest.of(trees, 3)
+    assert (packed.model is None) == (FO.onnxruntime is None)
+    assert packed.path_lengths(x, path_lengths) == pytest.approx(path_lengths(x, trees), rel=1e-14)
+    assert len(packed.path_lengths(x[:0], path_lengths)) == 0
+    bare = FO.Forest.of(trees[3:4], 3)
+    assert np.array_equal(bare.path_lengths(x, path_lengths), path_lengths(x, trees[3:4]))
+
+
+@pytest.mark.parametrize("off", [0.0, 40.0])
+def test_all_rows_are_scored_once_for_a_cutoff(spark, monkeypatch, off):
+    """Large windows: a few rows tell where to look, one pass over all rows decides; a wrong guess costs passes, not results."""
+    from deliveryrisk.models import windows as W
+
+    monkeypatch.setattr(W, "FEW_SCORES", 100)
+    monkeypatch.setattr(W, "FIRST_ROWS", 4000)
+    monkeypatch.setattr(W, "DEVIATIONS", 6.0 - off)
+    scored = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(6)
+    values = {0: -rng.random(30_000), 1: np.round(-rng.random(20_000), 3)}
+    df = spark.createDataFrame([(w, float(s)) for w, v in values.items() for s in v], "w int, s double").repartition(4)
+
+    def scores(pdf):
+        scored.add(len(pdf))
+        for w, part in pdf.groupby("w"):
+            yield int(w), part["s"].to_numpy()
+
+    got = W.low_shares(df, scores, {w: 0.1 * (len(v) - 1) for w, v in values.items()}, {w: len(v) for w, v in values.items()})
+    for w, v in values.items():
+        assert got[w] == pytest.approx((v < np.quantile(v, 0.1)).mean(), abs=1e-12)
+    assert off or scored.value < 1.7 * 50_000
